@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, simhash, token_counts
+from . import bpe, host_rules, language, mixing, quality, secrets, simhash, substring_dedup, token_counts
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,10 +27,20 @@ def _fold(folds: int, held_out: int):
     return F.coalesce(F.expr(f"crc32(CAST(doc_id AS STRING)) % {folds} = {held_out}"), F.lit(False))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "begin", "end", "kind", F.sha2("candidate", 256).alias("finding_sha256"), "score", "is_secret")
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs, folds=4, held_out=2))
@@ -48,13 +58,32 @@ def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = host_rules.apply_host_rules(_table(spark, sf_dir, "documents"))
+    return rules.drop("host_rate")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Builder]:
-    return {f.__name__: f for f in (op2_bpe_codec, op4_language_mixture, op5_compression_quality, op6_trie_token_counts, op9_simhash_variants)}
+    every = (
+        op1_secret_scan, op2_bpe_codec, op3_pareto_mix, op4_language_mixture, op5_compression_quality, op6_trie_token_counts,
+        op8_suffix_automata, op9_simhash_variants, op10_host_rules, pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_pareto_mix": mixing.ORACLE, "op8_suffix_automata": substring_dedup.ORACLE, "op10_host_rules": host_rules.ORACLE}
