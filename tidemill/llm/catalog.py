@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, language, mixing, quality, secrets, simhash, substring_dedup, token_counts
+from . import bpe, host_rules, language, mixing, quality, secrets, simhash, substring_dedup, token_counts, vector_dedup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op8_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Builder]:
     every = (
         op1_secret_scan, op2_bpe_codec, op3_pareto_mix, op4_language_mixture, op5_compression_quality, op6_trie_token_counts,
-        op8_suffix_automata, op9_simhash_variants, op10_host_rules, pipeline,
+        op7_collision_counting, op8_suffix_automata, op9_simhash_variants, op10_host_rules, pipeline,
     )
     return {f.__name__: f for f in every}
 
