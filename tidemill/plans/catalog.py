@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("splitting", "ordering")
+MODULES = ("splitting", "ordering", "auditing", "texts")
 
 
 def _entries() -> dict[str, tuple[Builder, str | None]]:
