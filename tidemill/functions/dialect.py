@@ -220,7 +220,10 @@ SPARK, ORACLE = Dialect(), Oracle()
 
 
 def on_spark(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
+    """Fractions become double literals, as they count in other engines, not decimals."""
+    parts = text.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", part) for part in parts[::2]]
+    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", "'".join(parts)))
 
 
 def on_oracle(text: str) -> str:
