@@ -136,3 +136,11 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out += words[j : j + n] * np.uint64(factor)
         factor = factor * _BASE % (1 << 64)
     return mix64(out)
+
+
+def range_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of words[begin : end] for each pair of bounds."""
+    up, down = _power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))

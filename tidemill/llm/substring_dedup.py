@@ -4,23 +4,25 @@ One automaton over the whole corpus does not fit a machine, and streaming every
 past every shard would take time that grows with the square of the corpus. So texts are
 sharded by content: of the five-word runs inside a window of 20 words the one with the
 smallest hash is the window's anchor, and equal windows have equal anchors wherever they
-stand. Consecutive windows with one anchor form a fragment. An anchor that occurs once in
-the corpus has no repeated window; the fragments of all others go to the shard of their
-anchor. There they stream in document order past the shard's suffix automaton, which gives
-for each word the longest run ending there that was seen before, and are added to it.
-Windows whose run is long enough are the ones to remove.
+stand. Consecutive windows with one anchor form a fragment. An anchor with one fragment in
+the corpus has no repeated window. Equal fragments form a class: all but the first of a
+class are removed whole. Where an anchor has several classes, the first fragments of each
+go to the shard of their anchor and stream in document order past the shard's suffix
+automaton, which gives for each word the longest run ending there that was seen before,
+and are added to it. Windows whose run is long enough are the ones to remove.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import let_workers_import, run_hashes, text_chunks, word_hashes, word_spans, written
+from .shared import let_workers_import, mix64, range_hashes, run_hashes, text_chunks, word_hashes, word_spans, written
 
 WINDOW = 20
 ANCHOR_WORDS = 5
@@ -76,13 +78,14 @@ class SuffixAutomaton:
 
 
 def anchored_runs(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (text, first window, number of windows, anchor hash)."""
+    """Runs of windows with one anchor: (text, first window, number of windows, anchor hash, hash of all their words)."""
     starts, ends, first = word_spans(raw, offsets)
-    grams = run_hashes(word_hashes(raw, starts, ends), k)
+    words = word_hashes(raw, starts, ends)
+    grams = run_hashes(words, k)
     span = window - k + 1
     n = len(grams) - span + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     # the leftmost of the smallest, so equal windows have their anchor at equal places
     low, place, width = grams, np.arange(len(grams)), 1
 
@@ -101,45 +104,63 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k:
     heads = np.flatnonzero(change & valid)
     bounds = np.flatnonzero(change | ~valid)
     stops = np.append(bounds, n)[np.searchsorted(bounds, heads, side="right")]
-    return owner[heads], heads - first[owner[heads]], stops - heads, low[heads].view(np.int64)
+    digest = range_hashes(words, heads, stops + window - 1).view(np.int64)
+    return owner[heads], heads - first[owner[heads]], stops - heads, (low[heads] >> np.uint64(1)).view(np.int64), digest
 
 
-def _row_key() -> list:
-    """Rows that share a doc_id but not a text are told apart by the text's hash."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print")]
+#: A run is one long: 15 bits of the text's hash, 40 bits of its first window, 8 bits of how many windows.
+#: The hash tells rows apart that share a doc_id.
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).alias("part"), text.alias("text"))
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments as (anchor, digest, doc, run). Of equal fragments that meet here all but the
+    first are settled; they get a negative anchor of their own, so no hot anchor gathers them."""
+
+    def settled(parts: list) -> Iterator[pa.RecordBatch]:
+        anchor, digest, doc, run = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((run, doc, digest, anchor))
+        anchor, digest, doc, run = anchor[order], digest[order], doc[order], run[order]
+        head = np.ones(len(anchor), bool)
+        head[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = (doc != doc[lead]) | (run != run[lead])
+        own = mix64(doc.view(np.uint64) * np.uint64(31) + run.view(np.uint64))
+        anchor = np.where(later, (own | np.uint64(1 << 63)).view(np.int64), anchor)
+        digest = np.where(later, 0, digest)
+        for i in range(0, len(anchor), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000]) for c in (anchor, digest, doc, run)], names=["anchor", "digest", "doc", "run"])
+
     for batch in batches:
         docs, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for lo, hi, raw, offsets in text_chunks(batch.column(2)):
-            text, begin, count, anchor = anchored_runs(raw, offsets)
-            for i in range(0, len(text), 20_000):
-                cut = slice(i, i + 20_000)
-                own = lo + text[cut]
-                columns = [pa.array(anchor[cut]), pa.array(docs[own]), pa.array(prints[own]), pa.array((begin[cut] << 8) | count[cut])]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "print", "run"])
+        parts, held = [], 0
+        for lo, _, raw, offsets in text_chunks(batch.column(2)):
+            text, begin, count, anchor, digest = anchored_runs(raw, offsets)
+            if not len(text):
+                continue
+            own = lo + text
+            parts.append((anchor, digest, docs[own], (prints[own] << 48) | (begin << 8) | count))
+            held += len(text)
+            if held > 250_000:
+                yield from settled(parts)
+                parts, held = [], 0
+        if parts:
+            yield from settled(parts)
 
 
 def _fragment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each run. Input in document order: a fragment that this task has seen
-    before in an earlier document is decided here and needs no automaton."""
-    seen: dict[bytes, tuple[int, int]] = {}
+    """The words of each open run: (anchor, doc, run, body)."""
     for batch in batches:
-        docs, prints, runs, anchors = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
         out: list[tuple] = []
-        for row, text in enumerate(batch.column(2)):
-            words = (text.as_py() or "").encode().split()
-            doc, own = docs[row], prints[row]
-            for run, anchor in sorted(zip(runs[row].as_py(), anchors[row].as_py(), strict=True)):
-                begin, count = run >> 8, run & 255
-                body = b" ".join(words[begin : begin + count + WINDOW - 1])
-                if seen.setdefault(body, (doc, begin)) < (doc, begin):
-                    out.append((own, 0, doc, own, begin, count, None))
-                else:
-                    out.append((anchor, 1, doc, own, begin, count, body))
-            if len(seen) > 150_000:
-                seen.clear()
+        for doc, text, runs in zip(*batch.columns, strict=True):
+            words = text.as_py().encode().split()
+            for one in runs.as_py():
+                begin = (one["run"] >> 8) & ((1 << 40) - 1)
+                out.append((one["anchor"], doc.as_py(), one["run"], b" ".join(words[begin : begin + (one["run"] & 255) + WINDOW - 1])))
             if len(out) > 20_000:
                 yield _rows(out)
                 out = []
@@ -148,73 +169,67 @@ def _fragment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["route", "open", "doc", "print", "begin", "count", "body"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "doc", "run", "body"])
 
 
 def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matching statistics per anchor; input sorted by (route, doc, begin). Gives removed windows as runs."""
-    anchor, automaton, seen = None, None, {}
+    """Matching statistics per anchor; input sorted by (anchor, doc, run). Gives removed windows as runs."""
+    anchor, automaton, before = None, SuffixAutomaton(), None
     for batch in batches:
-        out = []
-        for route, open_, doc, own, begin, count, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not open_:
-                out.append((doc, own, begin, count))
-                continue
-            if route != anchor:
-                anchor, automaton, seen = route, None, {}
-            before = seen.setdefault(body, (doc, begin))
-            if before != (doc, begin):
-                if before < (doc, begin):
-                    out.append((doc, own, begin, count))
-                continue
-            if len(seen) == 1:
-                continue  # the first fragment of its anchor waits until there is a second
-            if automaton is None:
-                automaton = SuffixAutomaton()
-                _stream(automaton, next(iter(seen)), 0, 0, 0, [])
-            _stream(automaton, body, doc, own, begin, out)
+        out: list[tuple] = []
+        for own, doc, run, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != anchor:
+                anchor, automaton, before = own, SuffixAutomaton(), None
+            if (doc, run) != before:  # a repeated row is the same fragment again
+                _stream(automaton, body, doc, run, out)
+                before = doc, run
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "print", "begin", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "run"])
 
 
-def _stream(automaton: SuffixAutomaton, body: bytes, doc: int, own: int, begin: int, out: list) -> None:
+def _stream(automaton: SuffixAutomaton, body: bytes, doc: int, run: int, out: list) -> None:
     automaton.start()
-    run = None
+    high, begin = run >> 48 << 48, (run >> 8) & ((1 << 40) - 1)
+    found = None
     for i, word in enumerate(body.split(b" ")):
         if automaton.add(word) >= WINDOW:
             at = begin + i - WINDOW + 1
-            if run is not None and run[0] + run[1] == at:
-                run[1] += 1
+            if found is not None and found[0] + found[1] == at:
+                found[1] += 1
             else:
-                if run is not None:
-                    out.append((doc, own, *run))
-                run = [at, 1]
-    if run is not None:
-        out.append((doc, own, *run))
+                if found is not None:
+                    out.append((doc, high | found[0] << 8 | found[1]))
+                found = [at, 1]
+    if found is not None:
+        out.append((doc, high | found[0] << 8 | found[1]))
 
 
-def _removed_mask(n: int, spans: list | None) -> np.ndarray:
+def _removed_mask(n: int, spans: list) -> np.ndarray:
     edges = np.zeros(n + 1, np.int64)
-    for span in spans or ():
-        begin, count = span >> 20, span & 0xFFFFF
-        edges[begin] += 1
-        edges[min(n, begin + count + WINDOW - 1)] -= 1
+    runs = np.array(spans, np.int64)
+    begin = (runs >> 8) & ((1 << 40) - 1)
+    np.add.at(edges, begin, 1)
+    np.subtract.at(edges, np.minimum(n, begin + (runs & 255) + WINDOW - 1), 1)
     return np.cumsum(edges[:n]) > 0
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """Runs of windows to remove: (doc, print, begin, count), a row per run."""
+def removed_windows(docs: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Runs of windows to remove: (doc, run), a row per run."""
     let_workers_import(docs.sparkSession)
-    texts = docs.select(*_row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    runs = texts.mapInArrow(_anchor_batches, "anchor long, doc long, print long, run long").repartition("anchor")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    open_runs = runs.join(twice, "anchor", "left_semi").groupBy("doc", "print").agg(F.collect_list("run").alias("runs"), F.collect_list("anchor").alias("anchors"))
-    with_text = texts.repartition("doc").join(open_runs, ["doc", "print"]).sortWithinPartitions("doc")
-    fragments = with_text.select("doc", "print", "text", "runs", "anchors").mapInArrow(_fragment_batches, "route long, open int, doc long, print long, begin long, count long, body binary")
-    shards = fragments.repartition("route").sortWithinPartitions("route", "doc", "begin")
-    return shards.mapInArrow(_shard_batches, "doc long, print long, begin long, count long")
+    base = base if base is not None else _base(docs).repartition("doc")
+    runs = _base(docs).mapInArrow(_anchor_batches, "anchor long, digest long, doc long, run long").repartition("anchor")
+    of_class, of_anchor = Window.partitionBy("anchor", "digest"), Window.partitionBy("anchor")
+    runs = runs.withColumn("first", F.min(F.struct("doc", "run")).over(of_class))
+    runs = runs.withColumn("low", F.min("digest").over(of_anchor)).withColumn("high", F.max("digest").over(of_anchor))
+    later = F.expr("anchor < 0 OR struct(doc, run) > first")
+    # text is fetched only for the first fragments of anchors with several classes; the rest is settled
+    runs = written(runs.where(later | (F.col("low") != F.col("high"))).select("anchor", "doc", "run", later.alias("later")), "runs")
+    open_runs = runs.where("NOT later").groupBy("doc", F.expr("shiftright(run, 48)").alias("part")).agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    with_text = base.join(open_runs, ["doc", "part"]).select("doc", "text", "runs")
+    fragments = with_text.mapInArrow(_fragment_batches, "anchor long, doc long, run long, body binary")
+    shards = fragments.repartition("anchor").sortWithinPartitions("anchor", "doc", "run")
+    return runs.where("later").select("doc", "run").unionByName(shards.mapInArrow(_shard_batches, "doc long, run long"))
 
 
 def remove_repeated_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -222,19 +237,16 @@ def remove_repeated_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null text has none. Every word is removed
     that a window of WINDOW words covers whose words also start earlier: in a smaller doc_id
-    or earlier in the same document. Rows that share a doc_id count as one document, each
-    at its own places; a null doc_id is smaller than any other. Texts with fewer words
-    than a window stay as they are; other columns are ignored; an empty table gives an
-    empty result.
+    or earlier in the same document. A null doc_id is smaller than any other; rows that share
+    a doc_id go by a hash of their text, and equal rows are one document with equal results.
+    Texts with fewer words than a window stay as they are; other columns are ignored; an
+    empty table gives an empty result.
     """
-    spans = removed_windows(docs).groupBy("doc", "print").agg(F.collect_list(F.expr("shiftleft(begin, 20) | count")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc": "_doc", "print": "_print"})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *_row_key()).repartition("doc")
-    rows = rows.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("print") == F.col("_print")), "left").select("doc_id", "text", "spans")
+    base = _base(docs).repartition("doc")
+    spans = removed_windows(docs, base).groupBy(F.col("doc").alias("_doc"), F.expr("shiftright(run, 48)").alias("_part")).agg(F.collect_list("run").alias("spans"))
+    rows = base.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("part") == F.col("_part")), "left").select("doc", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
@@ -257,7 +269,8 @@ def remove_repeated_spans(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    done = rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    return done.withColumn("doc_id", F.expr("nullif(doc_id, CAST(-9223372036854775808 AS BIGINT))"))
 
 
 ORACLE = r"""
