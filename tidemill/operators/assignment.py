@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,14 +142,3 @@ def assign_labels(rows: DataFrame, key: str, options: str, labels: tuple) -> Dat
     placed = rows.where(F.size(options) > 0).select(key, name.alias("g")).withColumn("place", F.row_number().over(order))
     return placed.join(table, "g").where("place BETWEEN first AND last").select(key, "label")
 
-
-def greedy_least_loaded(rows: list[tuple], labels: tuple) -> dict:
-    """The older rule: in key order each record takes its least loaded option."""
-    load = dict.fromkeys(labels, 0)
-    out = {}
-    for key, options in sorted(rows):
-        heap = [(load[o], labels.index(o), o) for o in options]
-        heapq.heapify(heap)
-        out[key] = heap[0][2]
-        load[heap[0][2]] += 1
-    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("splitting", "ordering", "auditing", "texts", "scoring", "graphs", "connectors")
+MODULES = ("splitting", "ordering", "auditing", "texts", "scoring", "graphs", "connectors", "composites")
 
 
 def _entries() -> dict[str, tuple[Builder, str | None]]:

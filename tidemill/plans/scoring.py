@@ -277,6 +277,10 @@ def _rollout(spark, sf_dir):
     return sequences.linear_rollout(vectors, "embedding", steps=3, decay=0.9).select("vec_id", F.round("drift", 6).alias("drift"))
 
 
+_ROLLOUT_ORACLE = """SELECT vec_id, round(sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: power(CAST(embedding[CAST((i + 2) % 64 + 1 AS INT)] AS DOUBLE) * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE) - CAST(embedding[CAST(i AS INT)] AS DOUBLE), 2)))), 6) AS drift
+  FROM embeddings WHERE label < 2"""
+
+
 def _shuffled(spark, sf_dir):
     return sequences.shuffled_negatives(table(spark, sf_dir, "conversations"), "conv_id", "turn", wanted=3)
 
@@ -285,4 +289,4 @@ QUERIES = relational(
     entity_prf, multiset_f1, stepwise_score, reference_sets, enrichment_bh, retrieval_rank, candidate_rerank, calibrated_rerank, best_of_candidates, ko_rescue, rescue_rank, conditional_minima, js_divergence,
     cosine_pairs, mse_points, horizon_metrics, pearson_spearman, topk_delta_corr, paired_win_rate, latent_geometry, layer_mean_pool, linspace_downsample, trajectory_slice, pad_trajectory, velocity, gaps_islands_layers,
     multiscale_time, capped_flatten, early_stop_trace, stability_gate, qa_by_tag, cell_sentence_eval, counterfactual_metrics, runtime_estimate, squared_error_objective, warmup_scale,
-) | {"dtw_distance": (_dtw, None), "lcs_length": (_lcs, None), "linear_rollout": (_rollout, None), "shuffled_negatives": (_shuffled, None)}
+) | {"dtw_distance": (_dtw, None), "lcs_length": (_lcs, None), "linear_rollout": (_rollout, _ROLLOUT_ORACLE), "shuffled_negatives": (_shuffled, None)}
