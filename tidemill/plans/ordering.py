@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import relational
+from pyspark.sql import functions as F
+
+from ..functions.dialect import ORACLE, on_oracle, relational
 from ..operators.budget import greedy_fill
+from ..operators.ranking import place_in_order
 from ..sources.tables import table
 
 _BINS = "CASE WHEN n_chars < 200 THEN '02-04' WHEN n_chars < 600 THEN '05-08' WHEN n_chars < 1500 THEN '09-16' WHEN n_chars < 4000 THEN '17-32' ELSE '33+' END"
@@ -111,8 +114,6 @@ def budget_prefix_sum(d):
 
 
 def _greedy(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2(F.concat(F.lit("order:17:"), F.col("doc_id").cast("string")), 256).alias("rk"))
     return greedy_fill(rows, "source", ["rk", "doc_id"], "n_chars", 20000).where("accepted").select("doc_id", "source", F.col("running").alias("upto"))
 
@@ -165,7 +166,33 @@ def balanced_oversample(d):
       WHERE {draw('base')} < 0.3 OR (coalesce(l.toxic, 0) = 1 AND {draw('more')} < 0.5)"""
 
 
+def _wrapped(placed, group, size):
+    """placed with n rows a group, the first rows again behind the last until the size divides the number."""
+    counts = placed.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
+    every = placed.join(counts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumnRenamed("place", "i")
+    again = every.where((F.col("n") % size != 0) & (F.col("i") < size - F.col("n") % size)).withColumn("i", F.col("i") + F.col("n"))
+    return every.unionByName(again)
+
+
+def _length_grouped(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    padded = _wrapped(place_in_order(rows, [(-F.col("n_chars")), "doc_id"], ["lang"]), "lang", 32)
+    chunks = padded.groupBy("lang", F.floor(F.col("i") / 32).alias("chunk")).agg(F.count("*").alias("rows_"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+    chunks = chunks.withColumn("h", F.sha2(F.concat(F.lit("chunk:3:"), F.col("lang"), F.lit(":"), F.col("chunk").cast("string")), 256))
+    return place_in_order(chunks, ["h"], ["lang"]).select("lang", "chunk", "rows_", "chars", "longest", (F.col("place") + 1).alias("place"))
+
+
+def _matched_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.sha2(F.concat(F.lit("epoch:1:"), F.col("o_orderkey").cast("string")), 256).alias("h"))
+    padded = _wrapped(place_in_order(rows, ["h"], ["o_orderpriority"]), "o_orderpriority", 16)
+    return padded.groupBy("o_orderpriority", F.floor(F.col("i") / 16).alias("batch"), (F.col("i") % 4).alias("rank_")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+
+
 QUERIES = relational(
     candidate_order, first_per_key, length_bins, length_round_robin, diversity_order, graph_round_robin, organism_round_robin, family_cap_topk, coverage_summary, prefix_choices, even_prefixes, all_prefixes,
-    horizon_label, epoch_prefix_view, budget_prefix_sum, head_sample, event_sort_key, length_grouped_batches, matched_global_batches, range_selection, balanced_oversample,
-) | {"budget_greedy_skip": (_greedy, _GREEDY_ORACLE)}
+    horizon_label, epoch_prefix_view, budget_prefix_sum, head_sample, event_sort_key, range_selection, balanced_oversample,
+) | {
+    "budget_greedy_skip": (_greedy, _GREEDY_ORACLE),
+    "length_grouped_batches": (_length_grouped, on_oracle(length_grouped_batches(ORACLE))),
+    "matched_global_batches": (_matched_batches, on_oracle(matched_global_batches(ORACLE))),
+}

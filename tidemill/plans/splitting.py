@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import relational
+from pyspark.sql import functions as F
+
+from ..functions.dialect import ORACLE, on_oracle, relational
+from ..operators.ranking import place_in_order
+from ..sources.tables import table
 
 #: Record = document, family = source, organism = lang, graph = source and lang.
 
@@ -202,8 +206,21 @@ def union_allow_missing(d):
       UNION ALL SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM @customer"""
 
 
+def _hash_rank_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.concat(F.lit("order:17:"), F.col("doc_id").cast("string")), 256).alias("rank_key"))
+    return place_in_order(rows, ["rank_key"], ["source"]).select("doc_id", "rank_key", (F.col("place") + 1).alias("pos"))
+
+
+def _strided_shard(spark, sf_dir):
+    placed = place_in_order(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return placed.select("o_orderkey", F.col("place").alias("idx"), (F.col("place") % 4).alias("shard"))
+
+
 QUERIES = relational(
-    hash_rank_order, hash_fraction_sample, hash_bucket_shard, stable_identities, group_candidate_sample, family_holdout, family_three_way, group_split_safe, source_coverage,
+    hash_fraction_sample, hash_bucket_shard, stable_identities, group_candidate_sample, family_holdout, family_three_way, group_split_safe, source_coverage,
     coverage_quantile_holdout, split_assignment, split_summary, explicit_or_hashed_split, overlap_matrix, overlap_contract, two_key_map, seen_source_filter, counterpart_coverage,
-    seeded_name_split, strided_shard, shard_merge_coverage, disjointness_guard, paired_profile_contract, config_anti_join, union_allow_missing,
-)
+    seeded_name_split, shard_merge_coverage, disjointness_guard, paired_profile_contract, config_anti_join, union_allow_missing,
+) | {
+    "hash_rank_order": (_hash_rank_order, on_oracle(hash_rank_order(ORACLE))),
+    "strided_shard": (_strided_shard, on_oracle(strided_shard(ORACLE))),
+}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import relational
+from pyspark.sql import functions as F
+
+from ..functions.dialect import ORACLE, on_oracle, relational
+from ..operators.ranking import place_in_order
 from ..operators.sentences import split_sentences
 from ..sources.tables import table
 
@@ -203,6 +206,15 @@ def control_pairing(d):
       SELECT t.doc_id, c.doc_id AS control FROM t JOIN (SELECT max(n) AS n FROM c) z ON true JOIN c ON c.i = CAST(t.h % z.n AS BIGINT)"""
 
 
+def _control_pairing(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    pool = place_in_order(labels.where("toxic = 0").select("doc_id"), ["doc_id"])
+    n = pool.count()
+    draw = F.conv(F.substring(F.sha2(F.concat(F.lit("pair:"), F.col("doc_id").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    cases = labels.where("toxic = 1").select("doc_id", (draw % max(n, 1)).alias("place"))
+    return cases.join(pool.withColumnRenamed("doc_id", "control"), "place").select("doc_id", "control")
+
+
 def _sentences(spark, sf_dir):
     return split_sentences(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
@@ -210,5 +222,5 @@ def _sentences(spark, sf_dir):
 QUERIES = relational(
     text_exact_projection, vocab_topk, rank_vectorise, clause_split, metadata_leak_markers, forbidden_json_keys, entity_extract, normalized_entities, relation_set, atomic_clause, prompt_render, template_render,
     clean_template_text, title_fallback, strip_fence, substring_reconcile, span_locate, payload_parse, generation_validity, row_upgrade, canonical_json, semantic_event_id, json_records_explode, prompt_tail_parse,
-    repair_prompt, eligibility_reasons, neutralised_payload, entity_projection_nodes, edge_endpoints, topology_role, subtype_consistency, edge_events, control_sentence, fallback_key_join, control_pairing,
-) | {"sentence_split": (_sentences, None)}
+    repair_prompt, eligibility_reasons, neutralised_payload, entity_projection_nodes, edge_endpoints, topology_role, subtype_consistency, edge_events, control_sentence, fallback_key_join,
+) | {"control_pairing": (_control_pairing, on_oracle(control_pairing(ORACLE))), "sentence_split": (_sentences, None)}
