@@ -35,7 +35,7 @@ def _rules(d):
       SELECT doc_id, 'unknown_lang' FROM @documents WHERE lang NOT IN ('en', 'de', 'fr') UNION ALL
       SELECT doc_id, 'bad_source' FROM @documents WHERE NOT {d.matches('source', '^src[0-9]+$')} UNION ALL
       SELECT doc_id, 'too_long' FROM @documents WHERE n_chars > 5000 UNION ALL
-      SELECT doc_id, 'repeated_text' FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM @documents) WHERE r > 1)"""
+      SELECT x.doc_id, 'repeated_text' FROM (SELECT doc_id, {d.sha('text')} AS h FROM @documents) x JOIN (SELECT {d.sha('text')} AS h, min(doc_id) AS keeper FROM @documents GROUP BY {d.sha('text')} HAVING count(*) > 1) k ON x.h = k.h WHERE x.doc_id > k.keeper)"""
 
 
 def audit_violations(d):
@@ -196,7 +196,7 @@ def dup_suffix_rename(d):
 
 def skip_reasons(d):
     """Rows that an export leaves out, with the reason."""
-    return f"""WITH r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k, {d.size(d.words('text'))} AS w FROM @documents)
+    return f"""WITH t AS (SELECT doc_id, {d.sha('text')} AS h, {d.size(d.words('text'))} AS w FROM @documents), g AS (SELECT h, min(doc_id) AS keeper FROM t GROUP BY h), r AS (SELECT t.doc_id, w, CASE WHEN t.doc_id > g.keeper THEN 2 ELSE 1 END AS k FROM t JOIN g ON t.h = g.h)
       SELECT CASE WHEN k > 1 THEN 'duplicate' WHEN w < 20 THEN 'short' ELSE 'kept' END AS reason, count(*) AS n FROM r GROUP BY CASE WHEN k > 1 THEN 'duplicate' WHEN w < 20 THEN 'short' ELSE 'kept' END"""
 
 

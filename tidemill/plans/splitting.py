@@ -84,8 +84,8 @@ _COVERAGE = """cov AS (SELECT source, count(*) AS n_docs, count(DISTINCT lang) A
 
 
 def source_coverage(d):
-    return f"""SELECT source, count(*) AS records, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars,
-      CAST(sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_texts, count(*) - count(DISTINCT text) AS duplicate_texts FROM @documents GROUP BY source"""
+    return f"""SELECT source, count(*) AS records, count(DISTINCT {d.sha('text')}) AS texts, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars,
+      CAST(sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_texts, count(*) - count(DISTINCT {d.sha('text')}) AS duplicate_texts FROM @documents GROUP BY source"""
 
 
 def _holdout(d):
@@ -104,7 +104,7 @@ def _splits(d):
     return f"""{_holdout(d)},
       fam AS (SELECT source, lang, CASE WHEN {fraction(d, "'assign:' || source || lang")} < 0.7 THEN 'train' WHEN {fraction(d, "'assign:' || source || lang")} < 0.9 THEN 'validation' ELSE 'test' END AS part
               FROM (SELECT DISTINCT source, lang FROM @documents)),
-      splits AS (SELECT x.doc_id, x.source, x.lang, x.n_chars, x.text,
+      splits AS (SELECT x.doc_id, x.source, x.lang, x.n_chars, {d.sha('x.text')} AS text_id,
                         CASE WHEN h.source IS NOT NULL AND f.part = 'test' THEN 'heldout_both' WHEN h.source IS NOT NULL THEN 'heldout_source' WHEN f.part = 'test' THEN 'test_family' ELSE f.part END AS split
                  FROM @documents x JOIN fam f ON x.source = f.source AND x.lang = f.lang LEFT JOIN held h ON x.source = h.source)"""
 
@@ -116,8 +116,8 @@ def split_assignment(d):
 
 def split_summary(d):
     """The flagship: leakage-safe splits and their coverage."""
-    return f"""WITH {_splits(d)} SELECT split, count(*) AS records, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT text) AS texts,
-      CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars, count(*) - count(DISTINCT text) AS duplicates FROM splits GROUP BY split"""
+    return f"""WITH {_splits(d)} SELECT split, count(*) AS records, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT text_id) AS texts,
+      CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars, count(*) - count(DISTINCT text_id) AS duplicates FROM splits GROUP BY split"""
 
 
 def explicit_or_hashed_split(d):
@@ -127,7 +127,7 @@ def explicit_or_hashed_split(d):
 
 def _overlap(d):
     return f"""{_splits(d)},
-      keys AS (SELECT DISTINCT 'source' AS identity, source AS value, split FROM splits UNION SELECT DISTINCT 'lang', lang, split FROM splits UNION SELECT DISTINCT 'text', {d.sha("coalesce(text, '')")}, split FROM splits),
+      keys AS (SELECT DISTINCT 'source' AS identity, source AS value, split FROM splits UNION SELECT DISTINCT 'lang', lang, split FROM splits UNION SELECT DISTINCT 'text', coalesce(text_id, ''), split FROM splits),
       pairs AS (SELECT i.identity, a.split AS a, b.split AS b FROM (SELECT DISTINCT split FROM splits) a JOIN (SELECT DISTINCT split FROM splits) b ON a.split < b.split, (SELECT DISTINCT identity FROM keys) i),
       shared AS (SELECT l.identity, l.split AS a, r.split AS b, count(DISTINCT l.value) AS n FROM keys l JOIN keys r ON l.identity = r.identity AND l.value = r.value AND l.split < r.split GROUP BY l.identity, l.split, r.split),
       matrix AS (SELECT p.identity, p.a, p.b, coalesce(s.n, 0) AS n_shared FROM pairs p LEFT JOIN shared s ON p.identity = s.identity AND p.a = s.a AND p.b = s.b)"""
