@@ -24,6 +24,7 @@ from .shared import let_workers_import
 
 #: Most entries of a worker's word cache; a full cache is emptied, results don't depend on it.
 CACHE_WORDS = 300_000
+_NEVER = 1 << 60
 
 
 def byte_characters() -> list[str]:
@@ -33,6 +34,20 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class _Cache(dict):
+    """Results by word; emptied when full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = self.make(word)
+        return found
+
+
 class WordBpe:
     """Codec of a tokenizers file with word ends: NFC, lower case, white space dropped, byte-level symbols."""
 
@@ -57,7 +72,7 @@ class WordBpe:
         for token in self.vocab:
             body = token[: -len(self.end)] if self.end and token.endswith(self.end) else token
             self.inside.update(zip(body, body[1:], strict=False))
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words = _Cache(self.word)
 
     def fragments(self, word: str) -> list[list[str]]:
         """The symbols of a pre-token, cut wherever no token holds the two neighbours; the last has the word end."""
@@ -67,29 +82,26 @@ class WordBpe:
         return [chars[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """Merges by rank, leftmost first, until none applies."""
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda pair: self.ranks.get(pair, 1 << 60))
-            if best not in self.ranks:
+        """Merges by rank, leftmost first, until none applies; only the ranks beside a merge change."""
+        get = self.ranks.get
+        ranks = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), _NEVER)
         return symbols
 
     def word(self, word: str) -> tuple[str, str]:
         """Ids and tokens of a pre-token, each joined by spaces."""
         tokens = [t for part in self.fragments(word) for t in self.merged(part)]
         found = " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = found
         return found
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -111,10 +123,9 @@ class WordBpe:
                 tokens.append(part)
                 continue
             known = self.words
-            for w in self.pre_tokens(part):
-                i, t = known.get(w) or self.word(w)
-                ids.append(i)
-                tokens.append(t)
+            found = [known[w] for w in self.pre_tokens(part)]
+            ids += [f[0] for f in found]
+            tokens += [f[1] for f in found]
         return " ".join(ids), " ".join(tokens)
 
     def decode(self, ids: list[int]) -> str:
