@@ -12,9 +12,9 @@ from ..sources.tables import table
 _EDGES = """steps AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM @events),
       edges AS (SELECT src, dst, count(*) AS n FROM steps WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
 
-#: The key graph: region to nation to supplier and customer.
+#: The key graph: region to nation to supplier and customer, with a short cut from region to supplier.
 _DAG = """dag AS (SELECT 'r' || CAST(n_regionkey AS STRING) AS src, 'n' || CAST(n_nationkey AS STRING) AS dst FROM @nation UNION ALL SELECT 'n' || CAST(s_nationkey AS STRING), 's' || CAST(s_suppkey AS STRING) FROM @supplier
-      UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'p' || CAST(p_partkey AS STRING) FROM @supplier JOIN @part ON p_partkey % 50 = s_suppkey % 50 WHERE p_partkey <= 60)"""
+      UNION ALL SELECT 'n' || CAST(c_nationkey AS STRING), 'c' || CAST(c_custkey AS STRING) FROM @customer UNION ALL SELECT 'r' || CAST(n_regionkey AS STRING), 's' || CAST(s_suppkey AS STRING) FROM @supplier JOIN @nation ON s_nationkey = n_nationkey)"""
 
 
 def edges_adjacency(d):
@@ -28,7 +28,7 @@ def condense_sinks(d):
 
 def reverse_reachability(d):
     """Ancestors of the sinks, and how many each has."""
-    return f"""WITH RECURSIVE {_DAG}, up(sink, node) AS (SELECT DISTINCT dst, src FROM dag WHERE substr(dst, 1, 1) = 'p' UNION ALL SELECT up.sink, dag.src FROM up JOIN dag ON dag.dst = up.node)
+    return f"""WITH RECURSIVE {_DAG}, up(sink, node) AS (SELECT DISTINCT dst, src FROM dag WHERE substr(dst, 1, 1) IN ('s', 'c') UNION ALL SELECT up.sink, dag.src FROM up JOIN dag ON dag.dst = up.node)
       SELECT sink, count(DISTINCT node) AS ancestors FROM up GROUP BY sink"""
 
 

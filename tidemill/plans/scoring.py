@@ -32,7 +32,7 @@ def multiset_f1(d):
 def stepwise_score(d):
     """Positional pairing of steps; the denominator is the longer side."""
     return f"""WITH {_TURNS}, w AS (SELECT conv_id, turn, {d.words('target')} AS t, {d.words('predicted')} AS p FROM pairs),
-      e AS (SELECT conv_id, turn, t, p, {d.explode(d.series(1, 10))} AS i FROM w)
+      e AS (SELECT conv_id, turn, t, p, {d.explode(d.series(1, 'greatest(' + d.size('t') + ', ' + d.size('p') + ', 1)'))} AS i FROM w)
       SELECT conv_id, turn, CAST(sum(CASE WHEN i <= {d.size('t')} AND i <= {d.size('p')} AND substr({d.at('t', 'CAST(least(i, ' + d.size('t') + ') AS INT)')}, 1, 1) = substr({d.at('p', 'CAST(least(i, ' + d.size('p') + ') AS INT)')}, 1, 1) THEN 1 ELSE 0 END) AS BIGINT) AS hits,
              CAST(max(greatest({d.size('t')}, {d.size('p')}, 1)) AS BIGINT) AS steps FROM e WHERE {d.size('t')} > 0 AND {d.size('p')} > 0 GROUP BY conv_id, turn"""
 
@@ -139,7 +139,7 @@ def mse_points(d):
 
 def horizon_metrics(d):
     """Error by horizon: vectors one to three ahead."""
-    return f"""WITH {_dims(d)}, h AS (SELECT b.vec_id - a.vec_id AS ahead, a.vec_id, sum((a.x - b.x) * (a.x - b.x)) / 64 AS mse FROM dims a JOIN dims b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 3 AND a.i = b.i WHERE a.vec_id < 300 GROUP BY b.vec_id - a.vec_id, a.vec_id)
+    return f"""WITH {_dims(d)}, k AS (SELECT vec_id, i, x, {d.explode(d.series(1, 3))} AS ahead FROM dims), h AS (SELECT CAST(k.ahead AS BIGINT) AS ahead, k.vec_id, sum((k.x - b.x) * (k.x - b.x)) / 64 AS mse FROM k JOIN dims b ON b.vec_id = k.vec_id + k.ahead AND k.i = b.i GROUP BY CAST(k.ahead AS BIGINT), k.vec_id)
       SELECT ahead, count(*) AS n, round(avg(mse), 8) AS mse FROM h GROUP BY ahead"""
 
 
@@ -164,7 +164,7 @@ def paired_win_rate(d):
 
 def latent_geometry(d):
     """Mean square, variance around one and off-diagonal covariance of dimensions."""
-    return f"""WITH {_dims(d)}, few AS (SELECT vec_id, i, x FROM dims WHERE i <= 8), one AS (SELECT avg(m * m) AS mean_sq, avg((v - 1) * (v - 1)) AS var_gap FROM (SELECT i, avg(x) AS m, var_pop(x) AS v FROM few GROUP BY i)),
+    return f"""WITH {_dims(d)}, few AS (SELECT vec_id, i, x FROM dims), one AS (SELECT avg(m * m) AS mean_sq, avg((v - 1) * (v - 1)) AS var_gap FROM (SELECT i, avg(x) AS m, var_pop(x) AS v FROM few GROUP BY i)),
       off AS (SELECT avg(c * c) AS off_sq FROM (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM few a JOIN few b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)) SELECT round(mean_sq, 8) AS mean_sq, round(var_gap, 8) AS var_gap, round(off_sq, 9) AS off_sq FROM one, off"""
 
 
@@ -230,8 +230,8 @@ def qa_by_tag(d):
 
 def cell_sentence_eval(d):
     """Rank agreement of shared tokens of neighbouring turns."""
-    return f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS w, i FROM (SELECT conv_id, turn, ws, {d.explode(d.series(1, 30))} AS i FROM (SELECT conv_id, turn, {d.words('target')} AS ws FROM pairs)) WHERE i <= {d.size('ws')}) GROUP BY conv_id, turn, w),
-      p AS (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS w, i FROM (SELECT conv_id, turn, ws, {d.explode(d.series(1, 30))} AS i FROM (SELECT conv_id, turn, {d.words('predicted')} AS ws FROM pairs)) WHERE i <= {d.size('ws')}) GROUP BY conv_id, turn, w)
+    return f"""WITH {_TURNS}, t AS (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS w, i FROM (SELECT conv_id, turn, ws, {d.explode(d.series(1, d.size('ws')))} AS i FROM (SELECT conv_id, turn, {d.words('target')} AS ws FROM pairs) WHERE {d.size('ws')} > 0)) GROUP BY conv_id, turn, w),
+      p AS (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS w, i FROM (SELECT conv_id, turn, ws, {d.explode(d.series(1, d.size('ws')))} AS i FROM (SELECT conv_id, turn, {d.words('predicted')} AS ws FROM pairs) WHERE {d.size('ws')} > 0)) GROUP BY conv_id, turn, w)
       SELECT t.conv_id, t.turn, count(*) AS shared, round(coalesce(CASE WHEN count(*) > 2 THEN corr(CAST(t.i AS DOUBLE), CAST(p.i AS DOUBLE)) END, 0), 6) AS r FROM t JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn AND t.w = p.w GROUP BY t.conv_id, t.turn"""
 
 
@@ -273,12 +273,12 @@ def _lcs(spark, sf_dir):
 
 
 def _rollout(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").where("label < 2")
+    vectors = table(spark, sf_dir, "embeddings")
     return sequences.linear_rollout(vectors, "embedding", steps=3, decay=0.9).select("vec_id", F.round("drift", 6).alias("drift"))
 
 
 _ROLLOUT_ORACLE = """SELECT vec_id, round(sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: power(CAST(embedding[CAST((i + 2) % 64 + 1 AS INT)] AS DOUBLE) * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE) - CAST(embedding[CAST(i AS INT)] AS DOUBLE), 2)))), 6) AS drift
-  FROM embeddings WHERE label < 2"""
+  FROM embeddings"""
 
 
 def _shuffled(spark, sf_dir):

@@ -24,8 +24,8 @@ def vocab_topk(d):
 
 def rank_vectorise(d):
     """Weight of a token: number of tokens less its last place."""
-    return f"""WITH w AS (SELECT conv_id, turn, {d.slice(d.words('text'), 1, 12)} AS ws FROM @conversations), p AS (SELECT conv_id, turn, ws, {d.explode(d.series(1, 12))} AS i FROM w)
-      SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS token, CAST(max({d.size('ws')} - i) AS BIGINT) AS weight FROM p WHERE i <= {d.size('ws')} GROUP BY conv_id, turn, {d.at('ws', 'CAST(i AS INT)')}"""
+    return f"""WITH w AS (SELECT conv_id, turn, {d.words('text')} AS ws FROM @conversations), p AS (SELECT conv_id, turn, ws, {d.explode(d.series(1, d.size('ws')))} AS i FROM w WHERE {d.size('ws')} > 0)
+      SELECT conv_id, turn, {d.at('ws', 'CAST(i AS INT)')} AS token, CAST(max({d.size('ws')} - i) AS BIGINT) AS weight FROM p GROUP BY conv_id, turn, {d.at('ws', 'CAST(i AS INT)')}"""
 
 
 def clause_split(d):
@@ -93,7 +93,7 @@ def title_fallback(d):
 
 
 def strip_fence(d):
-    return f"SELECT conv_id, turn, {d.replace('fenced', '^(```json)|```$', '')} AS body FROM (SELECT conv_id, turn, concat('```json', substr(text, 1, 40), '```') AS fenced FROM @conversations)"
+    return f"SELECT conv_id, turn, {d.replace('fenced', '^(```json)|```$', '')} AS body FROM (SELECT conv_id, turn, concat('```json', text, '```') AS fenced FROM @conversations)"
 
 
 def substring_reconcile(d):
@@ -145,7 +145,7 @@ def prompt_tail_parse(d):
 
 def repair_prompt(d):
     """A retry prompt with the doubled token budget up to a cap."""
-    return f"""SELECT conv_id, turn, concat('Repair: ', substr(text, 1, 30), ' | error: short') AS prompt, CAST(least(2 * {d.chars('text')}, 4096) AS BIGINT) AS budget FROM @conversations WHERE {d.chars('text')} < 200"""
+    return f"""SELECT conv_id, turn, concat('Repair: ', text, ' | error: short') AS prompt, CAST(least(2 * {d.chars('text')}, 4096) AS BIGINT) AS budget FROM @conversations WHERE {d.chars('text')} < 200"""
 
 
 def eligibility_reasons(d):
