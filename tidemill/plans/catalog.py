@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import let_workers_import
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("splitting", "ordering", "auditing", "texts", "scoring", "graphs", "connectors", "composites")
@@ -22,8 +24,16 @@ def _entries() -> dict[str, tuple[Builder, str | None]]:
     return found
 
 
+def _ready(builder: Builder) -> Builder:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return builder(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Builder]:
-    return {k: builder for k, (builder, _) in _entries().items()}
+    return {k: _ready(builder) for k, (builder, _) in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:

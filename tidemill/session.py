@@ -6,9 +6,18 @@ import os
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers that start from now on find this package where the driver has it; on a cluster it travels with --py-files."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    os.environ.setdefault("PYTHONPATH", ROOT)
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidemill")
