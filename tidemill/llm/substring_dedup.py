@@ -113,8 +113,9 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k:
 
 
 def _base(docs: DataFrame) -> DataFrame:
+    # no column can be null, so neither join adds a filter and both read one exchange
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).alias("part"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 15)), F.lit(0)).alias("part"), text.alias("text"))
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
