@@ -166,10 +166,10 @@ def forest_score(forest: list, feature) -> Column:
     return total / F.lit(float(len(forest)))
 
 
-def _pieces(docs: DataFrame, path: str) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, filtered: bool = False) -> DataFrame:
     """docs with _hits (candidates in order) and _gaps (the text around them); both null without a candidate."""
     text = F.col("text").cast("string")
-    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    has = F.lit(True) if filtered else F.coalesce(text.rlike(PATTERN), F.lit(False))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     return docs.withColumns({"_hits": F.when(has, F.regexp_extract_all(text, F.lit(PATTERN), 0)), "_gaps": F.when(has, F.split(text, PATTERN, -1)), "_path": where})
 
@@ -203,9 +203,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str =
     """
     forest = forest or train_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([F.col(path).cast("string").alias(path)] if path in docs.columns and path not in ("doc_id", "text") else [])
-    rows = _pieces(docs.select(*keep), path).where("_hits IS NOT NULL").withColumn("_judged", _judged(forest))
+    # filtered by the pattern first, so the lists are made for texts with candidates only
+    rows = _pieces(docs.select(*keep).where(F.col("text").rlike(PATTERN)), path, True).withColumn("_judged", _judged(forest))
     upto = F.expr("aggregate(sequence(1, _at.i + 1), 0, (n, k) -> n + char_length(element_at(_gaps, k)) + if(k <= _at.i, char_length(element_at(_hits, k)), 0))")
-    rows = rows.select("doc_id", "_gaps", "_hits", F.explode("_judged").alias("_at")).withColumn("begin", (upto + F.length("_at.head")).cast("long"))
+    rows = rows.select("doc_id", "_gaps", "_hits", F.explode_outer("_judged").alias("_at")).withColumn("begin", (upto + F.length("_at.head")).cast("long"))
     kind = F.when(F.length("_at.head") > 0, "assignment").when(F.col("_at.candidate").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key_id").otherwise("token")
     return rows.select(
         "doc_id", "begin", (F.col("begin") + F.length("_at.candidate")).alias("end"), F.col("_at.candidate").alias("candidate"), kind.alias("kind"), F.col("_at.score").alias("score"), (F.col("_at.score") >= accept).alias("is_secret")
