@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are strings assigned to a credential word and long tokens with digits. Each gets
+Candidates are strings assigned to a credential word and long tokens with digits, each
+the whole run of its characters however long. Each gets
 features of its length, its character transitions, how much of it dictionary words cover,
 the path it lies in and the words next to it. A forest trained on labelled findings scores
 it; the trees become nested CASE expressions inside a higher-order function, so scanning and
@@ -33,8 +34,8 @@ DICTIONARY = (
 COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
 PATTERN = (
-    rf"(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"']{{8,256}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,255}[0-9])[A-Za-z0-9+/_-]{16,256}={0,2}"
+    rf"(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"']{{8,}}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 HEAD = rf"^(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)(?=[^\s\"']{{8}})"
 CONTEXT = 48
