@@ -3,7 +3,7 @@
 Each language has a character trigram distribution learnt from labelled documents. A
 document is a mixture: every word is drawn from one of its languages. Expectation
 maximisation estimates the document's language proportions from the words' likelihoods; of
-the nested sets of its most likely languages, the one with the best penalised likelihood
+the nested sets of its languages by proportion, the one with the best penalised likelihood
 is its language set, and the largest proportion in that set the prediction.
 """
 
@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from .shared import let_workers_import, text_chunks
 
 TABLE_BITS = 17
-#: The broadcast tables hold 4 bytes per language and slot; more languages get fewer slots each.
-MAX_TABLE_BYTES = 64 << 20
+#: Values (letters or words x languages) that inference holds at a time, besides the words of a single long text.
+BLOCK_VALUES = 1 << 23
 SMOOTHING = 0.1
 ROUNDS = 8
 #: Cost of one more language, besides half the logarithm of the number of words.
 PENALTY = 3.0
-#: Languages of a document that the mixture considers: those most likely on their own.
-MOST_LANGUAGES = 8
 
 
 class Model(NamedTuple):
@@ -85,15 +83,18 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     slots, begins, owner = trigram_slots(texts, model.bits)
     if not len(begins) or not k:
         return shares, best, score
-    words = np.add.reduceat(model.log_probability[slots], begins, axis=0)
+    words = np.empty((len(begins), k), np.float32)
+    ends, lo = np.append(begins[1:], len(slots)), 0
+    while lo < len(begins):  # bounded pieces of whole words, as the letters take 4 bytes a language each
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + BLOCK_VALUES // k, side="right")))
+        words[lo:hi] = np.add.reduceat(model.log_probability[slots[begins[lo] : ends[hi - 1]]], begins[lo:hi] - begins[lo], axis=0)
+        lo = hi
     docs, first, counts = np.unique(owner, return_index=True, return_counts=True)
     alone = np.add.reduceat(words, first, axis=0, dtype=np.float64)  # log-likelihood of each language on its own
     top = words.max(1, keepdims=True)
     likelihood = np.exp(words - top)
     base = np.add.reduceat(top[:, 0], first, dtype=np.float64)
-    order = np.argsort(-alone, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    share, _ = mixture(likelihood, first, rank < MOST_LANGUAGES)
+    share, _ = mixture(likelihood, first, np.ones((len(docs), k), bool))
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     penalty = PENALTY + 0.5 * np.log(counts)
@@ -103,7 +104,7 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     value = alone[np.arange(len(docs)), one]
     # sets of two and more: only where the smaller proportions come to at least half a word
     more = np.flatnonzero(np.sort(share, axis=1)[:, -2] * counts >= 0.5) if k > 1 else np.zeros(0, int)
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
+    for size in range(2, k + 1):
         more = more[(share[more, order[more, size - 1]] * counts[more]) >= 0.5]
         if not len(more):
             break
@@ -132,8 +133,14 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     used = used.where(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % {folds} <> {held_out}")
     languages = [r[0] for r in used.select("lang").distinct().orderBy("lang").collect()]
     bits = TABLE_BITS
-    while bits > 8 and len(languages) * 4 << bits > MAX_TABLE_BYTES:
-        bits -= 1
+
+    def flushed(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, count in sums.items():
+            at = np.flatnonzero(count)
+            for i in range(0, len(at), 10_000):
+                own = at[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(count[own])], names=["lang", "slot", "n"])
+        sums.clear()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -146,11 +153,9 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
                     slots = trigram_slots(texts, bits)[0]
                     got = np.bincount(slots, minlength=1 << bits)
                     sums[name] = sums[name] + got if name in sums else got
-        for name, count in sums.items():
-            at = np.flatnonzero(count)
-            for i in range(0, len(at), 10_000):
-                own = at[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(count[own])], names=["lang", "slot", "n"])
+                    if len(sums) * len(got) > BLOCK_VALUES:
+                        yield from flushed(sums)
+        yield from flushed(sums)
 
     sums = used.select("lang", "text").mapInArrow(counted, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = np.zeros((1 << bits, len(languages)))
@@ -178,9 +183,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         names = np.array([*model.languages, "und"], dtype=object)
+        limit = min(1 << 20, max(1, BLOCK_VALUES // max(1, len(model.languages))))
         for batch in batches:
             got = []
-            for lo, hi, raw, offsets in text_chunks(batch.column(1), 1 << 20):
+            for lo, hi, raw, offsets in text_chunks(batch.column(1), limit):
                 got.append(infer([raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(hi - lo)], model))
             if not got:
                 continue
