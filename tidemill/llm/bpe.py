@@ -9,11 +9,13 @@ on their own and their ids concatenated, which gives the ids of the whole pre-to
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from .shared import let_workers_import
 
 #: Most entries of a worker's word cache; a full cache is emptied, results don't depend on it.
 CACHE_WORDS = 300_000
+#: Fragments of more symbols than this are merged through a heap, in n log n; shorter ones are faster by scanning their ranks.
+HEAP_SYMBOLS = 48
 _NEVER = 1 << 60
 
 
@@ -72,7 +76,7 @@ class WordBpe:
         for token in self.vocab:
             body = token[: -len(self.end)] if self.end and token.endswith(self.end) else token
             self.inside.update(zip(body, body[1:], strict=False))
-        self.words = _Cache(self.word)
+        self.words, self.texts = _Cache(self.word), _Cache(lambda ids: self.decode(map(int, ids.split())))
 
     def fragments(self, word: str) -> list[list[str]]:
         """The symbols of a pre-token, cut wherever no token holds the two neighbours; the last has the word end."""
@@ -83,6 +87,8 @@ class WordBpe:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merges by rank, leftmost first, until none applies; only the ranks beside a merge change."""
+        if len(symbols) > HEAP_SYMBOLS:
+            return self.merged_by_heap(symbols)
         get = self.ranks.get
         ranks = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
         while ranks:
@@ -98,11 +104,32 @@ class WordBpe:
                 ranks[i] = get((symbols[i], symbols[i + 1]), _NEVER)
         return symbols
 
-    def word(self, word: str) -> tuple[str, str]:
-        """Ids and tokens of a pre-token, each joined by spaces."""
-        tokens = [t for part in self.fragments(word) for t in self.merged(part)]
-        found = " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens)
-        return found
+    def merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """The same merges; an entry whose pair has changed since is passed over."""
+        get, n = self.ranks.get, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        now: list = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)] + [_NEVER]
+        heap = [(rank, i) for i, rank in enumerate(now) if rank != _NEVER]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if now[i] != rank:
+                continue
+            gone = after[i]
+            symbols[i] += symbols[gone]
+            symbols[gone], now[gone], after[i] = "", _NEVER, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0:
+                    now[left] = get((symbols[left], symbols[right]), _NEVER) if right < n else _NEVER
+                    if now[left] != _NEVER:
+                        heapq.heappush(heap, (now[left], left))
+        return [s for s in symbols if s]
+
+    def word(self, word: str) -> str:
+        """Ids of a pre-token, joined by spaces."""
+        return " ".join(str(self.vocab[t]) for part in self.fragments(word) for t in self.merged(part))
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii():
@@ -113,25 +140,25 @@ class WordBpe:
         found = self.pre_split(self.normalize(text))
         return [bytes(self.byte_of[c] for c in word).decode() for word, _ in found]
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids and token strings of a text, each joined by single spaces."""
-        parts = self.split_added.split(text) if self.split_added and "<|" in text else [text]
-        ids, tokens = [], []
-        for part in parts:
-            if part in self.added:
-                ids.append(str(self.added[part]))
-                tokens.append(part)
-                continue
+    def encode(self, text: str) -> list[str]:
+        """Ids of a text as decimals: for each pre-token one string, its ids joined by spaces."""
+        if not (self.split_added and "<|" in text):
             known = self.words
-            found = [known[w] for w in self.pre_tokens(part)]
-            ids += [f[0] for f in found]
-            tokens += [f[1] for f in found]
-        return " ".join(ids), " ".join(tokens)
+            return [known[w] for w in self.pre_tokens(text)]
+        found = []
+        for part in self.split_added.split(text):
+            found += [str(self.added[part])] if part in self.added else [self.words[w] for w in self.pre_tokens(part)]
+        return found
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces; ids outside the vocabulary are dropped."""
         return " ".join(self.token_of[i] for i in ids if i in self.token_of)
 
+    def decode_parts(self, parts: list[str]) -> str:
+        """decode() of the ids in strings as encode() gives them; equal strings are decoded once."""
+        known = self.texts
+        return " ".join(known[ids] for ids in parts)
+
 
 _codecs: dict[str, WordBpe] = {}
 
@@ -150,38 +177,49 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     vocabulary is the path of a tokenizers file on the driver; its content (a few MB, fixed
     by the vocabulary) is broadcast. A null or empty text has no tokens and decodes to "".
     Repeated rows keep one result row each; other columns of docs are ignored; an empty
-    table gives an empty result; ids never depend on other rows.
+    table gives an empty result; ids never depend on other rows. decoded is made from the
+    ids alone.
     """
-    return _mapped(docs, vocabulary, True)
+    return _mapped(docs, vocabulary, "ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): encode_documents with digests in place of ids and text."""
-    return _mapped(docs, vocabulary, False)
+    return _mapped(docs, vocabulary, "ids_sha256 string, decoded_sha256 string")
+
+
+def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the ids of encode_documents, with both digests."""
+    return _mapped(docs, vocabulary, "ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
-def _mapped(docs: DataFrame, vocabulary: str, whole: bool) -> DataFrame:
+def _mapped(docs: DataFrame, vocabulary: str, columns: str) -> DataFrame:
     spark = docs.sparkSession
     let_workers_import(spark)
     with open(vocabulary, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
+    names = ["doc_id", "n_tokens", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                counts, first, second = [], [], []
+                out: dict[str, list] = {name: [] for name in names[1:]}
                 for text in part.column(1):
-                    ids, joined = codec.encode(text.as_py() or "")
-                    numbers = [int(i) for i in ids.split()] if whole else None
-                    decoded = codec.decode(numbers) if whole else joined
-                    counts.append(ids.count(" ") + 1 if ids else 0)
-                    first.append(numbers if whole else hashlib.sha256(ids.encode()).hexdigest())
-                    second.append(decoded if whole else hashlib.sha256(decoded.encode()).hexdigest())
-                kind = pa.list_(pa.int32()) if whole else pa.string()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=names)
-
-    names = ["doc_id", "n_tokens", "ids", "decoded"] if whole else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = "doc_id long, n_tokens long, " + ("ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+                    parts = codec.encode(text.as_py() or "")
+                    ids = " ".join(parts)
+                    out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+                    if "ids" in out:
+                        out["ids"].append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
+                    if "ids_sha256" in out:
+                        out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded = codec.decode_parts(parts)
+                    if "decoded" in out:
+                        out["decoded"].append(decoded)
+                    else:
+                        out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kinds.get(k, pa.string())) for k, v in out.items())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_tokens long, {columns}")
