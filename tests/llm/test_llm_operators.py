@@ -153,13 +153,32 @@ def test_bpe_equals_the_library(docs, odd):
 def test_bpe_special_tokens_and_cuts():
     library, own = Tokenizer.from_file(VOCAB), bpe.WordBpe(open(VOCAB).read())
     for text in ["<|startoftext|>Hi<|endoftext|>", "ΑΣ ὈΔΥΣΣΕΎΣ. İstanbul", "qxzjvqkw zzzxqj don't we'll 12३४", "a\u0085b​c\x1cd"]:
-        assert [int(i) for i in own.encode(text)[0].split()] == library.encode(text, add_special_tokens=False).ids
+        assert [int(i) for part in own.encode(text) for i in part.split()] == library.encode(text, add_special_tokens=False).ids
     assert any(len(own.fragments(w)) > 1 for w in ("qxzjvqkw", "zzzxqj", "漢字"))
 
 
+def test_bpe_very_long_words():
+    library, own = Tokenizer.from_file(VOCAB), bpe.WordBpe(open(VOCAB).read())
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(n)) for n in (47, 48, 49, 500, 200_000)] + ["a" * 20_000, "ab" * 5000, "".join(rng.choice("etx漢üé") for _ in range(3000))]
+    for text in words:
+        parts, ids = own.encode(text), library.encode(text, add_special_tokens=False).ids
+        assert [int(i) for part in parts for i in part.split()] == ids
+        assert own.decode_parts(parts) == own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_decodes_from_the_ids():
+    own = bpe.WordBpe(open(VOCAB).read())
+    parts = own.encode("the cat")
+    own.token_of = {i: "x" for i in own.token_of}
+    assert own.decode_parts(parts) == "x x"
+
+
 def test_bpe_edges(empty, odd):
     assert bpe.encode_documents(empty, VOCAB).count() == 0
     got = {r["doc_id"]: r for r in bpe.encode_documents(odd, VOCAB).collect()}
+    both = {r["doc_id"]: r for r in bpe.encode_ids(odd, VOCAB).collect()}
+    assert all(both[i]["ids"] == r["ids"] and both[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest() for i, r in got.items())
     assert got[1]["ids"] == [] and got[2]["decoded"] == "" and got[10]["n_tokens"] == 1
 
 

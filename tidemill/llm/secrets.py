@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are strings assigned to a credential word and long tokens with digits, each
-the whole run of its characters however long. Each gets
+Candidates are strings assigned to a credential word and long tokens with digits or of mixed
+case, each the whole run of its characters however long. Each gets
 features of its length, its character transitions, how much of it dictionary words cover,
 the path it lies in and the words next to it. A forest trained on labelled findings scores
 it; the trees become nested CASE expressions inside a higher-order function, so scanning and
@@ -35,7 +35,7 @@ COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st t
 
 PATTERN = (
     rf"(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"']{{8,}}+"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*+[A-Za-z0-9+/_-]*?[a-z][A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 HEAD = rf"^(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)(?=[^\s\"']{{8}})"
 CONTEXT = 48
@@ -99,6 +99,8 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
     digest = pick("digest", ["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "uuid "])
     path, tests = pick("path", ["src1", "app/main", "web", "config/prod", ""]), pick("tests", ["tests/unit", "docs/example", "fixtures", "spec/sample"])
     camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), length(9, 0, 99).cast("string"))
+    letters = F.translate(mixed, "0123456789", "qZwXvJkQjK")
+    name = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)))
     snake = F.concat_ws("_", word(1), word(2), word(3), word(4), length(9, 0, 99).cast("string"))
     uuid = F.concat_ws("-", hexes.substr(1, 8), hexes.substr(9, 4), hexes.substr(13, 4), hexes.substr(17, 4), hexes.substr(21, 12))
     number = F.regexp_replace(F.concat(hexes, F.md5(hexes)), "[a-f]", "")
@@ -114,6 +116,10 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
         (F.concat(pick("gh", ["ghp_", "gho_", "sk_live_", "xoxb-"]), mixed.substr(1, 36)), path, prose, no, 1),
         (cut(upper, 20, 40), path, credential, yes, 1),
         (cut(mixed, 24, 43), path, prose, no, 1),
+        (letters.substr(1, 40), path, credential, yes, 1),
+        (cut(letters, 24, 43), path, prose, no, 1),
+        (name, path, prose, no, 0),
+        (name, path, credential, yes, 0),
         (hexes.substr(1, 40), path, digest, no, 0),
         (cut(hexes, 32, 64), path, digest, no, 0),
         (uuid, path, prose, no, 0),
@@ -167,12 +173,15 @@ def forest_score(forest: list, feature) -> Column:
     return total / F.lit(float(len(forest)))
 
 
-def _pieces(docs: DataFrame, path: str, filtered: bool = False) -> DataFrame:
-    """docs with _hits (candidates in order) and _gaps (the text around them); both null without a candidate."""
-    text = F.col("text").cast("string")
-    has = F.lit(True) if filtered else F.coalesce(text.rlike(PATTERN), F.lit(False))
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    return docs.withColumns({"_hits": F.when(has, F.regexp_extract_all(text, F.lit(PATTERN), 0)), "_gaps": F.when(has, F.split(text, PATTERN, -1)), "_path": where})
+def _pieces(docs: DataFrame, path: str, carried: list[Column], filtered: bool = False) -> DataFrame:
+    """(row, text, path, hits, gaps): row holds the carried columns, so that no name of theirs can
+    clash; hits are the candidates in order and gaps the text around them, both null without any."""
+    where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    rows = docs.select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"), where.alias("path"))
+    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    if filtered:  # the lists are made for texts with candidates only
+        rows, has = rows.where(has), F.lit(True)
+    return rows.select("*", F.when(has, F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("hits"), F.when(has, F.split("text", PATTERN, -1)).alias("gaps"))
 
 
 def _judged(forest: list) -> Column:
@@ -180,44 +189,46 @@ def _judged(forest: list) -> Column:
 
     def facts(hit: Column, i: Column) -> Column:
         head = F.regexp_extract(hit, HEAD, 0)
-        before = F.concat(F.right(F.element_at("_gaps", (i + 1).cast("int")), F.lit(CONTEXT)), head)
-        after = F.left(F.element_at("_gaps", (i + 2).cast("int")), F.lit(CONTEXT))
+        before = F.concat(F.right(F.element_at("gaps", (i + 1).cast("int")), F.lit(CONTEXT)), head)
+        after = F.left(F.element_at("gaps", (i + 2).cast("int")), F.lit(CONTEXT))
         return F.struct(i.alias("i"), head.alias("head"), hit.substr(F.length(head) + 1, F.length(hit)).alias("candidate"), before.alias("before"), after.alias("after"))
 
     def measured(x: Column) -> Column:
-        columns = feature_columns(x["candidate"], F.col("_path"), x["before"], x["after"], F.length(x["head"]) > 0)
+        columns = feature_columns(x["candidate"], F.col("path"), x["before"], x["after"], F.length(x["head"]) > 0)
         return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), *(c.cast("double").alias(k) for k, c in columns.items()))
 
     def scored(x: Column) -> Column:
         return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), forest_score(forest, lambda name: x[name]).alias("score"))
 
-    return F.transform(F.transform(F.transform("_hits", facts), measured), scored)
+    return F.transform(F.transform(F.transform("hits", facts), measured), scored)
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: list | None = None) -> DataFrame:
     """One row per candidate: doc_id, begin and end (0-based code points), candidate, kind, score, is_secret.
 
     findings are labelled findings (columns as in labelled_findings, which is the default);
-    path names the column of docs that says where a text lies. Null and empty texts have no
-    candidates; repeated rows repeat theirs; other columns of docs are ignored, whatever
-    their names; an empty table gives an empty result.
+    path names the column of docs that says where a text lies. A token that is not assigned
+    to anything is a candidate from 16 characters on, if it holds a digit or an upper-case
+    letter right after a lower-case one. Null and empty texts have no candidates; repeated
+    rows repeat theirs; other columns of docs are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     forest = forest or train_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
-    keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([F.col(path).cast("string").alias(path)] if path in docs.columns and path not in ("doc_id", "text") else [])
-    # filtered by the pattern first, so the lists are made for texts with candidates only
-    rows = _pieces(docs.select(*keep).where(F.col("text").rlike(PATTERN)), path, True).withColumn("_judged", _judged(forest))
-    upto = F.expr("aggregate(sequence(1, _at.i + 1), 0, (n, k) -> n + char_length(element_at(_gaps, k)) + if(k <= _at.i, char_length(element_at(_hits, k)), 0))")
-    rows = rows.select("doc_id", "_gaps", "_hits", F.explode_outer("_judged").alias("_at")).withColumn("begin", (upto + F.length("_at.head")).cast("long"))
-    kind = F.when(F.length("_at.head") > 0, "assignment").when(F.col("_at.candidate").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key_id").otherwise("token")
-    return rows.select(
-        "doc_id", "begin", (F.col("begin") + F.length("_at.candidate")).alias("end"), F.col("_at.candidate").alias("candidate"), kind.alias("kind"), F.col("_at.score").alias("score"), (F.col("_at.score") >= accept).alias("is_secret")
-    )
+    rows = _pieces(docs, path, [F.col("doc_id").cast("long").alias("doc_id")], True)
+    upto = F.expr("aggregate(sequence(1, at.i + 1), 0, (n, k) -> n + char_length(element_at(gaps, k)) + if(k <= at.i, char_length(element_at(hits, k)), 0))")
+    rows = rows.select("row.doc_id", "gaps", "hits", F.explode(_judged(forest)).alias("at")).withColumn("begin", (upto + F.length("at.head")).cast("long"))
+    kind = F.when(F.length("at.head") > 0, "assignment").when(F.col("at.candidate").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key_id").otherwise("token")
+    return rows.select("doc_id", "begin", (F.col("begin") + F.length("at.candidate")).alias("end"), "at.candidate", kind.alias("kind"), "at.score", (F.col("at.score") >= accept).alias("is_secret"))
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: list | None = None) -> DataFrame:
-    """docs with every secret replaced by REDACTED in text; all rows and columns stay."""
+    """docs with every secret replaced by REDACTED in text; all rows and columns stay.
+
+    Null, empty and blank texts are unchanged; repeated rows are redacted alike; the other
+    columns pass through whatever their names; an empty table gives an empty result.
+    """
     forest = forest or train_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
-    rows = _pieces(docs, path).withColumn("_judged", _judged(forest))
-    replaced = F.transform("_judged", lambda x: F.concat(F.element_at("_gaps", (x["i"] + 1).cast("int")), x["head"], F.when(x["score"] >= accept, F.lit(REDACTED)).otherwise(x["candidate"])))
-    clean = F.when(F.col("_hits").isNull(), F.col("text").cast("string")).otherwise(F.concat(F.array_join(replaced, ""), F.element_at("_gaps", -1)))
-    return rows.withColumn("text", clean).select(*docs.columns)
+    rows = _pieces(docs, path, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).withColumn("judged", _judged(forest))
+    replaced = F.transform("judged", lambda x: F.concat(F.element_at("gaps", (x["i"] + 1).cast("int")), x["head"], F.when(x["score"] >= accept, F.lit(REDACTED)).otherwise(x["candidate"])))
+    clean = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(replaced, ""), F.element_at("gaps", -1)))
+    return rows.select(*((clean if c == "text" else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)))
