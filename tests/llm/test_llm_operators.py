@@ -221,11 +221,31 @@ def test_mix_edges(odd, empty, docs):
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns and out.count() == sum(r["copies"] for r in rows)
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    clash = docs.select("doc_id", "text", "source").withColumn("_id", F.lit(1)).withColumn("_own", F.lit("x")).withColumn("_key", F.lit(2)).withColumn("a.b", F.lit(3))
+    assert mixing.mixed_documents(clash).columns == clash.columns and mixing.mixed_documents(clash).count() == sum(r["copies"] for r in mixing.mix_sources(docs).collect())
     liked = docs.withColumn("w", F.when(F.col("lang") == "de", 50.0).otherwise(1.0))
     plain, favoured = (r.join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'de'").agg(F.sum("taken")).first()[0] for r in (mixing.mix_sources(liked), mixing.mix_sources(liked, preference="w")))
     assert favoured > plain
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_mix_takes_rows_of_one_id_one_by_one(spark, same):
+    """Rows that share a doc_id, with equal or different texts, meet their targets to within one document."""
+    words = lambda i, n: " ".join(f"w{0 if same else i}x{k}" for k in range(n))
+    rows = [(7, words(i, 30), "a") for i in range(40)] + [(i, words(i, 10), "a") for i in range(100, 104)] + [(None, words(i, 25), "b") for i in range(30)] + [(i, words(i, 12), "c") for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(df).toPandas()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert ((per.target - per.taken).abs() <= per.most / 2 + 1e-9).all() and (got.taken <= 2 * got["size"]).all()
+    columns = ["doc_id", "size", "taken"]
+    assert sorted(map(str, got[columns].itertuples(index=False))) == sorted(map(str, mixing.mix_sources(df).toPandas()[columns].itertuples(index=False)))
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.execute(mixing.ORACLE).df()
+    rounded = lambda t: sorted(t[columns].fillna(-1).astype(int).itertuples(index=False, name=None))
+    assert rounded(got) == rounded(want)
+
+
 # --- 4 language -------------------------------------------------------------------------------
 
 

@@ -4,9 +4,11 @@ Every source gets a target in words. What a target holds of whole passes over it
 allocated as certain copies of each document; for the rest a fixed-size sample is drawn:
 documents are ranked by the odds of a random number over their inclusion odds, and taken in
 that order until the missing words are met. The rank is a 52-bit integer, and the cut of a
-source is found by two rounds of 4096-bin histograms and a window over one leaf bin, so no
-source, however hot, meets in one task; then each document decides alone, by comparing its
-own rank with its source's cut.
+source is found by two rounds of 4096-bin histograms and a window over the distinct keys of
+one leaf bin, so no source, however hot, meets in one task; then each document decides
+alone, by comparing its own key with its source's cut. Rows of one rank go by doc_id and a
+digest of their text; equal rows are counted, and the last of them that is taken is found
+by the numbers that the tasks gave them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ SEED = "mix"
 BROADCAST_SOURCES = 100_000
 
 _SCALE = float(1 << 52)
+_NO_ID = -(1 << 63)
 
 
 def _bits(seed: str) -> Column:
@@ -32,21 +35,24 @@ def _bits(seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def _rank() -> Column:
-    """Random odds over inclusion odds as a 52-bit integer; null where nothing is sampled."""
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with _key: random odds over inclusion odds as a 52-bit integer, then doc_id and text; its rank is null where nothing is sampled."""
     u = (F.col("_bits") + F.lit(0.5)) / F.lit(_SCALE)
     pi = F.col("_rest") / F.col("source_size")
     q = (u / (F.lit(1.0) - u)) / ((pi / (F.lit(1.0) - pi)) * F.col("_pref"))
-    return F.when(F.col("_rest") > 0, F.least(F.floor(q / (F.lit(1.0) + q) * F.lit(_SCALE)), F.lit((1 << 52) - 1)))
+    rank = F.when(F.col("_rest") > 0, F.least(F.floor(q / (F.lit(1.0) + q) * F.lit(_SCALE)), F.lit((1 << 52) - 1)))
+    return rows.withColumn("_key", F.struct(rank.alias("rank"), F.coalesce("_id", F.lit(_NO_ID)).alias("id"), F.col("_text").alias("text")))
 
 
-def sized(docs: DataFrame, seed: str, preference: str | None) -> DataFrame:
+def _measures(seed: str, preference: str | None) -> list[Column]:
+    """What a document is ranked by, and its size; _row tells equal rows apart."""
     text = F.col("text").cast("string")
     pref = F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(1.0)), F.lit(1e-6))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _bits(seed).alias("_bits"), pref.alias("_pref"),
-    )
+    digest = F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    return [
+        F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _bits(seed).alias("_bits"), pref.alias("_pref"), digest.alias("_text"), F.monotonically_increasing_id().alias("_row"),
+    ]
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -84,38 +90,49 @@ def _boundary(rows: DataFrame, bin_: Column, need: str) -> DataFrame:
 
 
 def mixture_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, preference: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sizes per document, plan per source: source_size, target, whole copies and the cut in rank order)."""
-    sizes = written(sized(docs, seed, preference), "mix-sizes")
+    """(sizes per document, plan per source: source_size, target, whole copies and the key and row of its cut)."""
+    spark = docs.sparkSession
+    sizes = written(docs.select(*_measures(seed, preference)), "mix-sizes")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = source_targets(sizes, weights, share, most).withColumn("whole", whole)
     plan = written(plan.withColumn("_rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "mix-plan")
     small = plan.count() <= BROADCAST_SOURCES
-    ranked = _joined(sizes, plan, small).withColumn("_rank", _rank()).where("_rest > 0")
-    first = written(_boundary(ranked, F.shiftright("_rank", 40), "_rest").select("source", F.col("_bin").alias("_b1"), F.col("_rest_in").alias("_r1")), "mix-first")
-    inside = _joined(ranked, first, small).where(F.shiftright("_rank", 40) == F.col("_b1"))
-    fine = F.shiftright("_rank", 28).bitwiseAND(F.lit(4095))
+    ranked = _ranked(_joined(sizes, plan, small)).where("_rest > 0")
+    first = written(_boundary(ranked, F.shiftright("_key.rank", 40), "_rest").select("source", F.col("_bin").alias("_b1"), F.col("_rest_in").alias("_r1")), "mix-first")
+    inside = _joined(ranked, first, small).where(F.shiftright("_key.rank", 40) == F.col("_b1"))
+    fine = F.shiftright("_key.rank", 28).bitwiseAND(F.lit(4095))
     second = written(_boundary(inside, fine, "_r1").select("source", F.col("_bin").alias("_b2"), F.col("_rest_in").alias("_r2")), "mix-second")
     leaf = _joined(inside, second, small).where(fine == F.col("_b2"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("_rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0))
-    met = leaf.withColumn("_upto", upto).where("_upto - size / 2.0 <= _r2")
-    last = met.groupBy("source").agg(F.max(F.struct("_rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))).alias("_last"))
-    cuts = _joined(first, second, small)
-    lowest = F.shiftleft("_b1", 40) + F.shiftleft("_b2", 28)
-    cuts = cuts.select("source", lowest.alias("_low"))
-    last = last.withColumnRenamed("source", "_s")
-    cuts = cuts.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("_last._rank", "_low").alias("_cut"), F.col("_last._id").alias("_cut_id"))
-    done = plan.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    # the leaf's distinct keys; of the key in which the words are met, as many equal rows as come nearest
+    keys = leaf.groupBy("source", "_key").agg(F.sum("size").alias("_n"), F.max("size").alias("_one"), F.count("*").alias("_rows"), F.first("_r2").alias("_r2"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    fits = F.when(F.col("_one") > 0, F.floor((F.col("_r2") - F.col("_before")) / F.col("_one") + F.lit(0.5))).otherwise(F.when(F.col("_before") <= F.col("_r2"), F.col("_rows")).otherwise(0))
+    keys = keys.withColumn("_before", before).withColumn("_fit", F.least(fits.cast("long"), F.col("_rows"))).where("_fit > 0")
+    last = keys.groupBy("source").agg(F.max_by(F.struct(F.col("_key").alias("_cut"), "_fit", "_rows"), "_key").alias("_last")).select(F.col("source").alias("_s"), "_last.*")
+    # where none of a leaf fits, the cut is before the leaf
+    low = F.struct((F.shiftleft("_b1", 40) + F.shiftleft("_b2", 28)).alias("rank"), F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("text"))
+    last = _joined(first, second, small).join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
+    last = written(last.select("source", F.coalesce("_cut", low).alias("_cut"), "_fit", "_rows"), "mix-last")
+    # the row of that key at place _fit: rows are numbered task by task, so the tasks' counts find the task, and a window over its rows the place
+    partial = _joined(leaf.select("source", "_key", "_row"), last.where("_fit < _rows"), small).where("_key = _cut").withColumn("_task", F.shiftright("_row", 33))
+    tasks = partial.groupBy("source", "_task").agg(F.count("*").alias("_n"), F.first("_fit").alias("_fit"))
+    upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_task"))
+    there = tasks.withColumn("_upto", upto).where("_upto >= _fit AND _upto - _n < _fit").select("source", F.col("_task").alias("_at"), (F.col("_fit") - F.col("_upto") + F.col("_n")).alias("_place"))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("_row"))
+    rows = _joined(partial, there, small).where("_task = _at").withColumn("_number", number).where("_number = _place").select("source", F.col("_row").alias("_cut_row"))
+    named = lambda df, prefix: df.withColumnRenamed("source", prefix)
+    done = plan.join(named(last.select("source", "_cut"), "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    done = done.join(named(rows, "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     out = written(done, "mix-cuts")
-    for used in (plan, first, second):
-        dropped(docs.sparkSession, used)
+    for used in (plan, first, second, last):
+        dropped(spark, used)
     return sizes, out
 
 
 def _copies() -> Column:
-    """Whole copies, and one more for a document at or before its source's cut."""
-    identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    met = (F.col("_rank") < F.col("_cut")) | ((F.col("_rank") == F.col("_cut")) & (identity <= F.col("_cut_id")))
-    return F.col("whole") + F.when(F.coalesce(met, F.lit(False)), 1).otherwise(0)
+    """Whole copies, and one more for a row at or before its source's cut."""
+    met = (F.col("_key") < F.col("_cut")) | ((F.col("_key") == F.col("_cut")) & (F.col("_row") <= F.coalesce("_cut_row", "_row")))
+    return F.col("whole") + F.when(F.coalesce(met, F.lit(False)) & (F.col("_rest") > 0), 1).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, preference: str | None = None) -> DataFrame:
@@ -123,31 +140,36 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
     weights repeat over the sources in code-point order, null last. preference names a
     positive column that multiplies a document's inclusion odds. A null text has size 0; a
-    null source is a source of its own; rows that share a doc_id are taken or left together
-    and count once per row; equal ranks go by doc_id. Other columns of docs are ignored, an
-    empty table gives an empty result, and the same rows and seed give the same mix.
+    null source is a source of its own. Rows that share a doc_id are taken one by one, in the
+    order of a digest of their texts; of equal rows the first ones are taken. Other columns
+    of docs are ignored, an empty table gives an empty result, and the same rows and seed
+    give the same mix.
     """
     sizes, plan = mixture_plan(docs, weights, share, most, seed, preference)
     small = plan.count() <= BROADCAST_SOURCES
-    rows = _joined(sizes, plan, small).withColumn("_rank", _rank()).withColumn("copies", _copies())
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = _ranked(_joined(sizes, plan, small)).withColumn("copies", _copies())
+    return rows.select(F.col("_id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, preference: str | None = None) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, its columns unchanged, without moving any text."""
+    """The mix itself: each row of docs as often as it is taken, its columns unchanged, without moving any text.
+
+    docs is read twice and must give its rows in the same order each time, as a table does;
+    nulls, repeats and ties are as for mix_sources. Columns of any name pass through; an
+    empty table gives an empty result.
+    """
     sizes, plan = mixture_plan(docs, weights, share, most, seed, preference)
+    dropped(docs.sparkSession, sizes)
     small = plan.count() <= BROADCAST_SOURCES
-    pref = F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(1.0)), F.lit(1e-6))
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _bits(seed).alias("_bits"), pref.alias("_pref"))
-    rows = _joined(rows, plan, small).withColumn("_rank", _rank()).withColumn("_copies", _copies().cast("int"))
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_own")
+    rows = _ranked(_joined(docs.select(own, *_measures(seed, preference)), plan, small)).withColumn("_copies", _copies().cast("int"))
     rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*(F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return rows.select(*(F.col(f"_own.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS bits
   FROM documents),
 s AS (
@@ -168,7 +190,7 @@ r AS (
 q AS (
   SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / ((rest / source_size) / (1 - rest / source_size)) END AS odds FROM r),
 c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 4503599627370496::DOUBLE), doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 4503599627370496::DOUBLE), doc_id NULLS FIRST, sha256(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
