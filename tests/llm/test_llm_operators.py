@@ -64,6 +64,22 @@ def test_words_by_bytes_agree_with_the_pattern():
     assert got == [WORD.findall(t or "") for t in texts]
 
 
+@pytest.mark.parametrize("turns", [9, 10, 11, 12])
+def test_hashes_tell_words_apart_that_defeat_polynomials(turns):
+    """Words of two letters that swap places by the Thue-Morse rule are equal modulo 2 ** 64 in any base."""
+    from tidemill.llm.shared import range_hashes, word_hashes
+
+    a, b = "a", "b"
+    for _ in range(turns):
+        a, b = a + b, b + a
+    raw = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    n = len(a)
+    found = word_hashes(raw, np.array([0, n + 1, 2 * n + 2]), np.array([n, 2 * n + 1, 3 * n + 2]))
+    assert found[0] == found[2] != found[1]
+    runs = range_hashes(np.where(raw == ord("a"), np.uint64(3), np.uint64(5)), np.array([0, n + 1, 2 * n + 2]), np.array([n, 2 * n + 1, 3 * n + 2]))
+    assert runs[0] == runs[2] != runs[1]
+
+
 # --- components -------------------------------------------------------------------------------
 
 
@@ -86,6 +102,19 @@ def test_components(spark, seed):
     assert got == {x: root(x) for x in parent}
 
 
+def test_components_of_large_stars(spark):
+    """Hubs of more than HEAVY_ROWS edges, chained, with the hub at either end of the order."""
+    edges = [(5000, i) for i in range(900)] + [(0, 6000 + i) for i in range(700)] + [(6000, 7000), (9000, 9001)] + [(10_000 + i, 20_000) for i in range(600)] + [(20_000, 20_001)]
+    got = {r[0]: r[1] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {x: 9000 if x in (9000, 9001) else 10_000 if x >= 10_000 else 0 for e in edges for x in e}
+
+
+def test_minimum_of_hot_keys(spark):
+    rows = [(k, v, f"x{v % 7}") for k, n in ((1, 900), (2, 300), (3, 5), (4, 1)) for v in range(k, n + k)] + [(1, 1, "x1")]
+    got = components.with_minimum(spark.createDataFrame(rows, "k long, v long, extra string"), "k", "v", "low", len(rows)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((*r, r[0]) for r in rows)
+
+
 def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -450,6 +479,8 @@ def test_simhash_against_brute_force(spark, docs, odd):
         label = new
     assert all(got[i]["component_id"] == label[i] for i in prints)
     assert len(simhash.simhash_near_duplicates(odd).collect()) == odd.count()
+    once = simhash.keep_one_of_each(odd.withColumn("_kept", F.lit(1)).withColumn("a.b", F.lit(2))).collect()
+    assert [r["doc_id"] for r in once].count(4) == 1 and len(once) == len({r["component_id"] for r in simhash.simhash_near_duplicates(odd).collect()})
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == set(label.values())
 

@@ -229,4 +229,5 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
                 keep = score_sizes(sizes, model) >= accept
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

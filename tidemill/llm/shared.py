@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code works on at a time; a longer text is one piece.
 CHUNK_BYTES = 2 << 20
@@ -47,6 +49,19 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def keep_first_of_groups(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of docs for each group that grouped gives: it maps (row, doc_id, text) to (row, doc_id, root).
+
+    The row with the smallest doc_id stays; among rows with it, or where no row has one, the
+    first as written. Columns of any name pass through.
+    """
+    own = written(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id()), "rows")
+    at = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
+    groups = grouped(own.select("row", at["doc_id"].cast("long").alias("doc_id"), at["text"].cast("string").alias("text")))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    return own.join(best.select("best.row"), "row", "left_semi").drop("row").toDF(*docs.columns)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without a copy; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,24 +105,9 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets, side="left")
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            tables = np.cumprod(factors)
-            if size <= 8 * CHUNK_BYTES:
-                _powers[k] = tables
-            elif k == 0:
-                first = tables
-            else:
-                return [first, tables]
-    return _powers
+_BASE = 0x9E3779B97F4A7C15
+#: Longer words are hashed one by one.
+LONG_WORD = 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -118,11 +118,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, the same wherever the word stands."""
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word's bytes, the same wherever the word stands: eight bytes at a time are mixed in."""
+    lengths = ends - starts
+    out = mix64(lengths.astype(np.uint64) + np.uint64(_BASE))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+    live, lane = np.flatnonzero(lengths <= LONG_WORD), 0
+    while len(live):
+        rest = lengths[live] - lane
+        part = eights[starts[live] + lane]
+        short = np.flatnonzero(rest < 8)
+        part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix64(out[live] ^ part)
+        live, lane = live[rest > 8], lane + 8
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -139,8 +151,12 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def range_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of words[begin : end] for each pair of bounds."""
-    up, down = _power_tables(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    """Hash of words[begin : end] for each pair of bounds, a word at a time; for ranges of some hundred words at most."""
+    lengths = ends - begins
+    out = mix64(lengths.astype(np.uint64) + np.uint64(_BASE))
+    live = np.argsort(-lengths, kind="stable")
+    sizes, at = lengths[live], 0
+    while len(live := live[: np.searchsorted(-sizes[: len(live)], -at, side="left")]):
+        out[live] = mix64(out[live] * np.uint64(_BASE) ^ words[begins[live] + at])
+        at += 1
+    return out

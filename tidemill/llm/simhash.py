@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import let_workers_import, text_chunks, written
+from .components import connected_components, with_minimum
+from .shared import keep_first_of_groups, let_workers_import, text_chunks, written
 
 MAX_BITS = 3
 SEED = 42
@@ -173,6 +173,13 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return index.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, rep, root): each distinct fingerprint with its smallest doc_id and the fingerprint that names its group."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    parts = connected_components(fingerprint_links(classes.select("fp")))
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
 
@@ -182,16 +189,19 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
     columns of docs are ignored; an empty table gives an empty result.
     """
     prints = written(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(fingerprint_links(classes.select("fp")))
-    rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    rooted = written(_rooted(prints), "simhash-groups")
+    named = with_minimum(rooted, "root", "rep", "component_id", rooted.count()).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group; rows without a doc_id stay."""
-    kept = simhash_near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """One row of docs for each group: that with the smallest doc_id; among rows with it, or
+    where no row has one, the first as written. Columns of any name pass through; an empty
+    table gives an empty result."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        numbered = written(rows.select(F.col("row").alias("doc_id"), "text").transform(fingerprints), "simhash")
+        named = numbered.withColumnRenamed("doc_id", "row").join(_rooted(numbered).select("fp", "root"), "fp")
+        return named.join(rows.select("row", "doc_id"), "row").select("row", "doc_id", "root")
+
+    return keep_first_of_groups(docs, grouped)
