@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 def strong_components(nodes: list, edges: list[tuple]) -> dict:
     """Smallest member of each node's strong component. Without recursion, so long chains are fine."""
@@ -93,3 +95,25 @@ def structured_records(edges: DataFrame, graph: str, source: str, target: str) -
 
     schema = f"`{graph}` {kinds[graph]}, node {kinds[source]}, component {kinds[source]}, distance bigint, layer bigint, is_sink boolean"
     return pairs.groupBy(graph).applyInPandas(run, schema)
+
+
+def transitive_closure(edges: DataFrame, src: str, dst: str, rounds: int = 40) -> DataFrame:
+    """Distinct (src, dst) for every pair that a way of one edge or more connects; null ends connect nothing.
+
+    Each round joins the ways with themselves, so their length doubles, and is written, so
+    no plan grows; it stops when a round adds no pair.
+    """
+    spark = edges.sparkSession
+    now = edges.select(F.col(src).alias(src), F.col(dst).alias(dst)).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct()
+    known = -1
+    for _ in range(rounds):
+        where = scratch(spark, "closure")
+        now.write.parquet(where)
+        found = spark.read.schema(now.schema).parquet(where)
+        count = found.count()
+        if count == known:
+            return found
+        known = count
+        onward = found.select(F.col(src).alias("_via"), F.col(dst).alias("_to"))
+        now = found.unionByName(found.join(onward, F.col(dst) == F.col("_via")).select(src, F.col("_to").alias(dst))).distinct()
+    raise RuntimeError(f"the closure did not settle in {rounds} rounds")

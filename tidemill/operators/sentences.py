@@ -9,29 +9,38 @@ import regex
 from pyspark.sql import DataFrame
 
 # Abbreviations whose stop ends no sentence.
-ABBREVIATIONS = "al approx cf ca dept dr e.g ed eds eq etc fig figs i.e inc jr mr mrs ms no nr prof ref refs sp spp sr st vol vs".split()
+ABBREVIATIONS = frozenset("approx. ca. cf. dept. dr. e.g. eq. etc. fig. hr. i.e. inc. max. min. mol. mr. mrs. ms. no. prof. ref. sec. st. vol. vs. wt.".split())
 
-_SPACE = regex.compile(r"\s+")
-_STOP = regex.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
-_INITIAL = regex.compile(r"(?:^|\s)\p{Lu}\.$")
+#: A run of stops with the closing marks after it, before a space or the end.
+_STOP = regex.compile(r"(?P<stops>[.!?]+)[\"'\u2019\u201d)\]}]*(?=\s|$)")
+_OPENING = regex.compile(r"[\s(\[{\"'\u2018\u201c]")
+_LETTERS = regex.compile(r"(?:[A-Za-z]\.){2,}")
+_NEXT_WORD = regex.compile(r"[A-Za-z]+")
+
+
+def _inside_sentence(text: str, begin: int, end: int) -> bool:
+    """Whether the stops text[begin:end] belong to an abbreviation, a row of initials or the initial of a name."""
+    if text[begin:end].strip("."):
+        return False
+    token = text[max((m.end() for m in _OPENING.finditer(text, max(0, begin - 64), begin)), default=max(0, begin - 64)) : end]
+    if token.casefold() in ABBREVIATIONS or _LETTERS.fullmatch(token):
+        return True
+    if len(token) == 2 and token[0].isalpha():
+        word = _NEXT_WORD.search(text, end)
+        return bool(word) and word[0][0].islower()
+    return False
 
 
 def sentences_of(text: str | None) -> list[str]:
-    """White space collapsed; cut after runs of stops and closing quotes before a space or the end."""
-    text = _SPACE.sub(" ", text or "").strip()
+    """White space collapsed; cut after runs of stops and closing marks before a space or the end."""
+    text = " ".join((text or "").split())
     out, begin = [], 0
     for stop in _STOP.finditer(text):
-        upto = text[begin : stop.end()]
-        if stop[0] == "." and stop.end() < len(text):
-            tail = upto[-12:]
-            if _INITIAL.search(tail) or any(tail.lower().endswith((" " if len(tail) > len(a) + 1 else "") + a + ".") for a in ABBREVIATIONS):
-                continue
-        if upto.strip():
-            out.append(upto.strip())
-        begin = stop.end()
-    if text[begin:].strip():
-        out.append(text[begin:].strip())
-    return out
+        if not _inside_sentence(text, stop.start(), stop.end("stops")):
+            out.append(text[begin : stop.end()].strip())
+            begin = stop.end()
+    out.append(text[begin:].strip())
+    return [s for s in out if s]
 
 
 def split_sentences(rows: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -38,10 +38,20 @@ def longest_layers(d):
       far AS (SELECT node, max(depth) AS distance FROM walk GROUP BY node) SELECT node, CAST(distance AS BIGINT) AS distance, CAST((SELECT max(distance) FROM far) - distance AS BIGINT) AS layer FROM far"""
 
 
-def scc_pairs(d):
-    """Mutually reachable types of each user's transitions, by the closure of its edges."""
-    return f"""WITH RECURSIVE {_EDGES}, few AS (SELECT DISTINCT src, dst FROM edges WHERE n >= 2), reach(a, b, k) AS (SELECT src, dst, 1 FROM few UNION ALL SELECT r.a, f.dst, k + 1 FROM (SELECT DISTINCT a, b, k FROM reach) r JOIN few f ON r.b = f.src WHERE k < 4)
-      SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM (SELECT DISTINCT a, b FROM reach) x JOIN (SELECT DISTINCT a, b FROM reach) y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
+def _scc_pairs(spark, sf_dir):
+    """Mutually reachable event types, by the closure of all transitions."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst"))
+    reach = graph.transitive_closure(steps.where("dst IS NOT NULL AND src <> dst"), "src", "dst")
+    back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return reach.intersect(back.select("src", "dst")).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component")).select("node", F.least("node", "component").alias("component"))
+
+
+_SCC_PAIRS_ORACLE = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst),
+  reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON reach.b = e.src)
+SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
 
 
 def context_attachment(d):
@@ -99,5 +109,5 @@ def _indivisible(spark, sf_dir):
 
 
 QUERIES = relational(
-    edges_adjacency, condense_sinks, reverse_reachability, longest_layers, scc_pairs, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
-) | {"structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}
+    edges_adjacency, condense_sinks, reverse_reachability, longest_layers, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
+) | {"scc_pairs": (_scc_pairs, _SCC_PAIRS_ORACLE), "structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}

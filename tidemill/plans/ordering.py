@@ -82,9 +82,19 @@ def prefix_choices(d):
 
 
 def even_prefixes(d):
-    """At most three evenly spaced prefix lengths, rounded half to even."""
-    return f"""WITH {_LAYERS}, e AS (SELECT conv_id, n, {d.explode(d.series(0, 2))} AS pos FROM layers)
-      SELECT DISTINCT conv_id, CAST({d.half_even('pos * (n - 1) / 2.0')} AS BIGINT) AS prefix FROM e"""
+    """Of the prefix lengths 1 to n - 1 all, or three evenly spaced ones, rounded half to even."""
+    return f"""WITH {_LAYERS}, few AS (SELECT conv_id, {d.explode(d.series(1, 'n - 1'))} AS prefix FROM layers WHERE n BETWEEN 2 AND 4),
+      e AS (SELECT conv_id, n, {d.explode(d.series(0, 2))} AS pos FROM layers WHERE n > 4)
+      SELECT conv_id, CAST(prefix AS BIGINT) AS prefix FROM few UNION ALL SELECT conv_id, CAST(1 + {d.half_even('pos * (n - 2) / 2.0')} AS BIGINT) FROM e"""
+
+
+#: Written apart from the query: first, last and the middle, whose half goes to the even neighbour; all three differ from five layers on.
+_EVEN_ORACLE = """WITH layers AS (SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id),
+  k AS (SELECT conv_id, n, n - 2 AS top FROM layers)
+SELECT conv_id, p AS prefix FROM k, range(1, 4) r(p) WHERE n <= 4 AND p < n
+UNION ALL SELECT conv_id, 1::BIGINT FROM k WHERE n > 4
+UNION ALL SELECT conv_id, 1 + CASE WHEN top % 2 = 0 THEN top // 2 WHEN (top // 2) % 2 = 0 THEN top // 2 ELSE top // 2 + 1 END FROM k WHERE n > 4
+UNION ALL SELECT conv_id, n - 1 FROM k WHERE n > 4"""
 
 
 def all_prefixes(d):
@@ -196,3 +206,5 @@ QUERIES = relational(
     "length_grouped_batches": (_length_grouped, on_oracle(length_grouped_batches(ORACLE))),
     "matched_global_batches": (_matched_batches, on_oracle(matched_global_batches(ORACLE))),
 }
+
+QUERIES["even_prefixes"] = (QUERIES["even_prefixes"][0], _EVEN_ORACLE)

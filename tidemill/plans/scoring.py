@@ -42,37 +42,53 @@ def reference_sets(d):
 
 
 _ENRICH = """part_of AS (SELECT DISTINCT p_brand AS q, p_type AS e FROM @part WHERE p_size <= 25), ref AS (SELECT DISTINCT concat('S', CAST(p_size AS STRING)) AS s, p_type AS e FROM @part),
-      universe AS (SELECT count(DISTINCT p_type) AS big_n FROM @part), qn AS (SELECT q, count(*) AS n FROM part_of GROUP BY q), sk AS (SELECT s, count(*) AS k FROM ref GROUP BY s),
+      universe AS (SELECT count(DISTINCT e) AS big_n FROM ref), qn AS (SELECT q, count(*) AS n FROM part_of GROUP BY q), sk AS (SELECT s, count(*) AS k FROM ref GROUP BY s),
       ov AS (SELECT q, s, count(*) AS x FROM part_of p JOIN ref r ON p.e = r.e GROUP BY q, s),
-      cell AS (SELECT qn.q, sk.s, big_n, n, k, x FROM ov JOIN qn ON ov.q = qn.q JOIN sk ON ov.s = sk.s, universe)"""
+      cell AS (SELECT qn.q, sk.s, big_n, n, k, x FROM ov JOIN qn ON ov.q = qn.q JOIN sk ON ov.s = sk.s CROSS JOIN universe)"""
 
 
 def _log_comb(d):
-    """log n! by a running sum over a table of logarithms; only pairs that overlap are rows."""
-    return f"""lf AS (SELECT CAST(i AS BIGINT) AS i, CASE WHEN i = 0 THEN 0.0 ELSE sum(CASE WHEN i = 0 THEN 0.0 ELSE ln(CAST(i AS DOUBLE)) END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) END AS f FROM (SELECT {d.explode(d.series(0, 400))} AS i) z)"""
+    """log n! for n up to the size of the universe, by a running sum of logarithms."""
+    return f"""lf AS (SELECT CAST(i AS BIGINT) AS i, CASE WHEN i = 0 THEN 0.0 ELSE sum(CASE WHEN i = 0 THEN 0.0 ELSE ln(CAST(i AS DOUBLE)) END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) END AS f FROM (SELECT {d.explode(d.series(0, 'big_n'))} AS i FROM universe) z)"""
 
 
 def _enriched(d):
+    """Every query against every reference set, one that shares nothing with it at p = 1; the correction counts all sets.
+
+    Tails are computed for the pairs that overlap only; all pairs are rows of the result.
+    """
     return f"""{_ENRICH}, {_log_comb(d)},
       tail AS (SELECT q, s, big_n, n, k, x, {d.explode(d.series('x', 'least(n, k)'))} AS j FROM cell),
       term AS (SELECT t.q, t.s, t.x, a.f - b.f - c.f + e.f - g.f - h.f - (o.f - p.f - r.f) AS lp FROM tail t JOIN lf a ON a.i = t.k JOIN lf b ON b.i = t.j JOIN lf c ON c.i = t.k - t.j
                JOIN lf e ON e.i = t.big_n - t.k JOIN lf g ON g.i = t.n - t.j JOIN lf h ON h.i = t.big_n - t.k - t.n + t.j JOIN lf o ON o.i = t.big_n JOIN lf p ON p.i = t.n JOIN lf r ON r.i = t.big_n - t.n),
-      pv AS (SELECT q, s, x, round(least(1.0, sum(exp(lp))), 9) AS p FROM term GROUP BY q, s, x),
+      hit AS (SELECT q, s, x, round(least(1.0, sum(exp(lp))), 9) AS p FROM term GROUP BY q, s, x),
+      pv AS (SELECT qn.q, sk.s, coalesce(hit.x, 0) AS x, coalesce(hit.p, 1.0) AS p FROM qn CROSS JOIN sk LEFT JOIN hit ON hit.q = qn.q AND hit.s = sk.s),
       ranked AS (SELECT q, s, x, p, row_number() OVER (PARTITION BY q ORDER BY p, s) AS r, count(*) OVER (PARTITION BY q) AS m FROM pv),
       bh AS (SELECT q, s, x, p, round(least(1.0, min(p * m / r) OVER (PARTITION BY q ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS fdr FROM ranked)"""
 
 
 def enrichment_bh(d):
-    """Hypergeometric upper tail by log-factorials, corrected by a running reverse minimum."""
+    """Hypergeometric upper tail by log-factorials, corrected over all reference sets by a running reverse minimum."""
     return f"WITH {_enriched(d)} SELECT q, s, CAST(x AS BIGINT) AS x, round(p, 7) AS p, round(fdr, 7) AS fdr FROM bh"
 
 
 def retrieval_rank(d):
-    """Rank of each query's true set among its enriched ones: hits and reciprocal rank."""
-    return f"""WITH {_enriched(d)}, rk AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY x DESC, s) AS r FROM bh), truth AS (SELECT q, min(s) AS s FROM bh GROUP BY q)
+    """Place of each query's true set among all sets by corrected p, p and name: hits and reciprocal rank."""
+    return f"""WITH {_enriched(d)}, rk AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY fdr, p, s) AS r FROM bh), truth AS (SELECT q, min(s) AS s FROM bh WHERE x > 0 GROUP BY q)
       SELECT t.q, CAST(rk.r AS BIGINT) AS place, rk.r <= 1 AS hit1, rk.r <= 3 AS hit3, rk.r <= 5 AS hit5, round(1.0 / rk.r, 9) AS reciprocal FROM truth t JOIN rk ON t.q = rk.q AND t.s = rk.s"""
 
 
+#: Written apart from the queries: gamma functions in place of a table, each set's correction by a search over the sets no better than it.
+_ENRICH_ORACLE = """WITH mine AS (SELECT p_brand AS q, list(DISTINCT p_type) AS own FROM part WHERE p_size <= 25 GROUP BY p_brand),
+  sets AS (SELECT 'S' || p_size AS s, list(DISTINCT p_type) AS own FROM part GROUP BY p_size),
+  total AS (SELECT count(DISTINCT p_type)::DOUBLE AS t FROM part),
+  every AS (SELECT q, s, len(list_intersect(mine.own, sets.own)) AS x, len(mine.own) AS n, len(sets.own) AS k, t FROM mine, sets, total),
+  p AS (SELECT q, s, x, CASE WHEN x = 0 THEN 1.0 ELSE round(least(1.0, list_sum(list_transform(range(greatest(x, n - (t - k)::BIGINT, 0), least(n, k) + 1), lambda j:
+      exp(lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(t - k + 1) - lgamma(n - j + 1) - lgamma(t - k - n + j + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1))))), 9) END AS p FROM every),
+  above AS (SELECT a.q, a.s, a.x, a.p, count(b.s) AS upto FROM p a JOIN p b ON a.q = b.q AND b.p <= a.p GROUP BY a.q, a.s, a.x, a.p),
+  fdr AS (SELECT a.q, a.s, a.x, a.p, round(least(1.0, min(b.p * (SELECT count(*) FROM sets) / b.upto)), 8) AS fdr FROM above a JOIN above b ON a.q = b.q AND b.p >= a.p GROUP BY a.q, a.s, a.x, a.p)"""
+
+
 def candidate_rerank(d):
     """Candidates of a case by score, ties by input place: top, reciprocal rank, share of negatives below the gold one."""
     return """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS place FROM @lineitem),
@@ -290,3 +306,12 @@ QUERIES = relational(
     cosine_pairs, mse_points, horizon_metrics, pearson_spearman, topk_delta_corr, paired_win_rate, latent_geometry, layer_mean_pool, linspace_downsample, trajectory_slice, pad_trajectory, velocity, gaps_islands_layers,
     multiscale_time, capped_flatten, early_stop_trace, stability_gate, qa_by_tag, cell_sentence_eval, counterfactual_metrics, runtime_estimate, squared_error_objective, warmup_scale,
 ) | {"dtw_distance": (_dtw, None), "lcs_length": (_lcs, None), "linear_rollout": (_rollout, _ROLLOUT_ORACLE), "shuffled_negatives": (_shuffled, None)}
+
+QUERIES["enrichment_bh"] = (QUERIES["enrichment_bh"][0], _ENRICH_ORACLE + " SELECT q, s, x::BIGINT AS x, round(p, 7) AS p, round(fdr, 7) AS fdr FROM fdr")
+QUERIES["retrieval_rank"] = (
+    QUERIES["retrieval_rank"][0],
+    _ENRICH_ORACLE
+    + """, truth AS (SELECT q, min(s) AS s FROM fdr WHERE x > 0 GROUP BY q),
+  found AS (SELECT t.q, (1 + count(o.s))::BIGINT AS place FROM truth t JOIN fdr f ON f.q = t.q AND f.s = t.s LEFT JOIN fdr o ON o.q = t.q AND (o.fdr, o.p, o.s) < (f.fdr, f.p, f.s) GROUP BY t.q)
+  SELECT q, place, place <= 1 AS hit1, place <= 3 AS hit3, place <= 5 AS hit5, round(1.0 / place, 9) AS reciprocal FROM found""",
+)

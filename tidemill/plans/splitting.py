@@ -71,13 +71,29 @@ def family_three_way(d):
       SELECT source, 'strict' AS part FROM strict UNION ALL SELECT source, 'validation' FROM val UNION ALL SELECT source, 'train' FROM train"""
 
 
+def _group_split(d, namespace, share):
+    """Hash split by group; where a side stays empty, that share of the groups, by hash and never all, is the validation side."""
+    return f"""g AS (SELECT lang, {fraction(d, f"'{namespace}:' || lang")} AS h FROM @documents GROUP BY lang),
+      r AS (SELECT lang, h, CAST(row_number() OVER (ORDER BY h, lang) AS BIGINT) AS pos, CAST(count(*) OVER () AS BIGINT) AS n, sum(CASE WHEN h < {share} THEN 1 ELSE 0 END) OVER () AS low FROM g),
+      s AS (SELECT lang, CASE WHEN CASE WHEN low = 0 OR low = n THEN pos <= least(greatest(1, CAST({d.half_even(f'n * {share}')} AS BIGINT)), n - 1) ELSE h < {share} END THEN 'validation' ELSE 'train' END AS part FROM r)"""
+
+
 def group_split_safe(d):
-    """Hash split by group; where a side stays empty, the group of lowest hash moves there whole."""
-    return f"""WITH g AS (SELECT lang, min({fraction(d, "'split:' || lang")}) AS h FROM @documents GROUP BY lang),
-      r AS (SELECT lang, h, CAST(row_number() OVER (ORDER BY h, lang) AS BIGINT) AS pos, CAST(count(*) OVER () AS BIGINT) AS n, sum(CASE WHEN h < 0.25 THEN 1 ELSE 0 END) OVER () AS low FROM g),
-      s AS (SELECT lang, CASE WHEN low = 0 THEN CASE WHEN pos = 1 THEN 'validation' ELSE 'train' END WHEN low = n THEN CASE WHEN pos = n THEN 'train' ELSE 'validation' END
-                              WHEN h < 0.25 THEN 'validation' ELSE 'train' END AS part FROM r)
-      SELECT x.doc_id, x.lang, s.part FROM @documents x JOIN s ON x.lang = s.lang"""
+    """Whole groups by hash, and the fallback for draws that leave a side empty: a share that no group's hash is below."""
+    return f"""WITH {_group_split(d, 'split', 0.25)} SELECT x.doc_id, x.lang, s.part FROM @documents x JOIN s ON x.lang = s.lang"""
+
+
+def group_split_fallback(d):
+    """The same with a share so small that no group's hash lies below it."""
+    return f"""WITH {_group_split(d, 'split', 0.000001)} SELECT x.doc_id, x.lang, s.part FROM @documents x JOIN s ON x.lang = s.lang"""
+
+
+def _group_split_oracle(share):
+    """Written apart from the query: the split by lists of groups in the order of their whole hashes."""
+    return f"""WITH line AS (SELECT list(lang ORDER BY sha256('split:' || lang)) AS names FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+  low AS (SELECT names, list_filter(names, lambda g: ('0x' || substr(sha256('split:' || g), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < {share}) AS below FROM line),
+  val AS (SELECT CASE WHEN len(below) BETWEEN 1 AND len(names) - 1 THEN below ELSE names[1:least(greatest(1, round_even(len(names) * {share}, 0)::BIGINT), len(names) - 1)] END AS chosen FROM low)
+SELECT doc_id, lang, CASE WHEN list_contains(chosen, lang) THEN 'validation' ELSE 'train' END AS part FROM documents, val WHERE lang IS NOT NULL"""
 
 
 _COVERAGE = """cov AS (SELECT source, count(*) AS n_docs, count(DISTINCT lang) AS n_langs, CAST(sum(n_chars) AS BIGINT) AS chars FROM @documents GROUP BY source)"""
@@ -88,16 +104,30 @@ def source_coverage(d):
       CAST(sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_texts, count(*) - count(DISTINCT {d.sha('text')}) AS duplicate_texts FROM @documents GROUP BY source"""
 
 
-def _holdout(d):
+def _holdout(d, protected="'src0'", most_strata=10, share=0.2, seed=7):
+    """Sources but the protected ones, by records, languages and mean length, in equal strata of two at least."""
+    stratum = "'coverage_quantile_' || lpad(CAST(stratum AS STRING), 2, '0')"
     return f"""{_COVERAGE},
-      strata AS (SELECT source, chars, CAST(floor((row_number() OVER (ORDER BY chars, source) - 1) * 4 / (count(*) OVER ())) AS BIGINT) AS stratum FROM cov),
-      ranked AS (SELECT source, stratum, CAST(row_number() OVER (PARTITION BY stratum ORDER BY {d.sha("'holdout:7:' || source")}) AS BIGINT) AS pos, CAST(count(*) OVER (PARTITION BY stratum) AS BIGINT) AS n FROM strata),
-      held AS (SELECT source FROM ranked WHERE pos <= least(n - 1, greatest(1, CAST({d.half_even('n * 0.2')} AS BIGINT))) AND source <> 'src0')"""
+      candidates AS (SELECT source, row_number() OVER (ORDER BY n_docs, n_langs, CAST(chars AS DOUBLE) / n_docs, source) - 1 AS place, count(*) OVER () AS n_all FROM cov WHERE source NOT IN ({protected})),
+      counted AS (SELECT source, place, n_all, least({most_strata}, greatest(1, floor(n_all / 2.0))) AS n_strata FROM candidates),
+      strata AS (SELECT source, CAST(least(n_strata - 1, floor(place * n_strata / CAST(n_all AS DOUBLE))) AS BIGINT) AS stratum FROM counted),
+      ranked AS (SELECT source, stratum, CAST(row_number() OVER (PARTITION BY stratum ORDER BY {d.sha(f"'coverage_holdout:' || {stratum} || ':{seed}:' || source")}, source) AS BIGINT) AS pos, CAST(count(*) OVER (PARTITION BY stratum) AS BIGINT) AS n FROM strata),
+      held AS (SELECT source FROM ranked WHERE pos <= least(n - 1, greatest(1, CAST({d.half_even(f'n * {share}')} AS BIGINT))))"""
 
 
 def coverage_quantile_holdout(d):
-    """Sources in quantile strata by position; of each stratum the lowest hashes are held out, a protected one never."""
-    return f"WITH {_holdout(d)} SELECT r.source, r.stratum, h.source IS NOT NULL AS held_out FROM ranked r LEFT JOIN held h ON r.source = h.source"
+    """Sources in strata by coverage; of each stratum the lowest hashes are held out. A protected source is in no stratum."""
+    return f"WITH {_holdout(d)} SELECT c.source, r.stratum, h.source IS NOT NULL AS held_out FROM cov c LEFT JOIN ranked r ON c.source = r.source LEFT JOIN held h ON c.source = h.source"
+
+
+#: Written apart from the query: lists in place of windows.
+_HOLDOUT_ORACLE = """WITH per AS (SELECT source, count(*) AS records, count(DISTINCT lang) AS langs, sum(n_chars) / count(*) AS mean FROM documents GROUP BY source),
+  line AS (SELECT list(source ORDER BY records, langs, mean, source) AS names FROM per WHERE source <> 'src0'),
+  placed AS (SELECT unnest(names) AS source, unnest(range(len(names))) AS i, len(names) AS n FROM line),
+  strata AS (SELECT source, least(g - 1, i * g // n) AS stratum FROM (SELECT *, least(10, greatest(1, n // 2)) AS g FROM placed)),
+  drawn AS (SELECT stratum, list(source ORDER BY sha256('coverage_holdout:coverage_quantile_' || right('0' || stratum::VARCHAR, 2) || ':7:' || source), source) AS names FROM strata GROUP BY stratum),
+  held AS (SELECT unnest(CASE WHEN len(names) < 2 THEN [] ELSE names[1:least(len(names) - 1, greatest(1, round_even(len(names) * 0.2, 0)::BIGINT))] END) AS source FROM drawn)
+SELECT per.source, stratum::BIGINT AS stratum, per.source IN (SELECT source FROM held) AS held_out FROM per LEFT JOIN strata USING (source)"""
 
 
 def _splits(d):
@@ -217,10 +247,14 @@ def _strided_shard(spark, sf_dir):
 
 
 QUERIES = relational(
-    hash_fraction_sample, hash_bucket_shard, stable_identities, group_candidate_sample, family_holdout, family_three_way, group_split_safe, source_coverage,
+    hash_fraction_sample, hash_bucket_shard, stable_identities, group_candidate_sample, family_holdout, family_three_way, group_split_safe, group_split_fallback, source_coverage,
     coverage_quantile_holdout, split_assignment, split_summary, explicit_or_hashed_split, overlap_matrix, overlap_contract, two_key_map, seen_source_filter, counterpart_coverage,
     seeded_name_split, shard_merge_coverage, disjointness_guard, paired_profile_contract, config_anti_join, union_allow_missing,
 ) | {
     "hash_rank_order": (_hash_rank_order, on_oracle(hash_rank_order(ORACLE))),
     "strided_shard": (_strided_shard, on_oracle(strided_shard(ORACLE))),
 }
+
+QUERIES["coverage_quantile_holdout"] = (QUERIES["coverage_quantile_holdout"][0], _HOLDOUT_ORACLE)
+QUERIES["group_split_safe"] = (QUERIES["group_split_safe"][0], _group_split_oracle(0.25))
+QUERIES["group_split_fallback"] = (QUERIES["group_split_fallback"][0], _group_split_oracle(0.000001))
