@@ -131,7 +131,7 @@ def test_forest_expression_equals_the_trees(spark, forest):
     rows = secrets.labelled_findings(spark, 12)
     columns = secrets.feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), F.col("assigned"))
     table = rows.select("label", *(c.cast("double").alias(k) for k, c in columns.items()))
-    table = table.withColumn("score", secrets.forest_score(forest, F.col))
+    table = table.withColumn("score", secrets.forest_score(forest, F.array(*secrets.FEATURES)))
 
     def walk(node, row):
         while isinstance(node, tuple):

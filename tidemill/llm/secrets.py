@@ -4,7 +4,7 @@ Candidates are strings assigned to a credential word and long tokens with digits
 case, each the whole run of its characters however long. Each gets
 features of its length, its character transitions, how much of it dictionary words cover,
 the path it lies in and the words next to it. A forest trained on labelled findings scores
-it; the trees become nested CASE expressions inside a higher-order function, so scanning and
+it; the trees are constant arrays that a higher-order function walks, so scanning and
 redaction are one pass over the table without a shuffle, a Python worker or a model call.
 """
 
@@ -85,27 +85,27 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
     credential contexts and in plain prose are secrets; digests, identifiers of dictionary
     words, placeholders, sequences, numbers and keys of test paths are not.
     """
-    words = F.array(*map(F.lit, DICTIONARY))
-    hexes = F.sha2(F.concat(F.lit("finding:"), F.col("id").cast("string")), 256)
-    pick = lambda k, choices: F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(choices))) + 1).cast("int"))
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    length = lambda k, lo, hi: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(hi - lo + 1)) + lo).cast("int")
-    cut = lambda column, lo, hi: column.substr(F.lit(1), length("cut", lo, hi))
-    base64 = F.base64(F.unhex(hexes))
-    upper = F.translate(F.upper(F.concat(hexes, F.md5(hexes))), "0123456789ABCDEF", "AQ2W7ERTY4UIOP9S")
-    mixed = F.regexp_replace(base64, "[+/=]", "k")
-    prose, say = pick("prose", ["and then the ", "of the page ", "we saw that ", "in it, ", "und das ", "la que "]), pick("after", [" and so on", " is here", "", ", the end", " of it"])
-    credential = pick("cred", ["the token = ", "set password=", "api_key: ", "secret = ", "with token: ", "pwd="])
-    digest = pick("digest", ["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "uuid "])
-    path, tests = pick("path", ["src1", "app/main", "web", "config/prod", ""]), pick("tests", ["tests/unit", "docs/example", "fixtures", "spec/sample"])
-    camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), length(9, 0, 99).cast("string"))
-    letters = F.translate(mixed, "0123456789", "qZwXvJkQjK")
-    name = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)))
-    snake = F.concat_ws("_", word(1), word(2), word(3), word(4), length(9, 0, 99).cast("string"))
-    uuid = F.concat_ws("-", hexes.substr(1, 8), hexes.substr(9, 4), hexes.substr(13, 4), hexes.substr(17, 4), hexes.substr(21, 12))
-    number = F.regexp_replace(F.concat(hexes, F.md5(hexes)), "[a-f]", "")
-    steady = F.repeat(pick("steady", ["x", "0123456789", "abc123", "1234", "deadbeef"]), 6)
-    filler = F.concat(pick("fill", ["your_", "changeme_", "example-", "insert_", "dummy_"]), word(1), F.lit("_"), pick("tail", ["key_here1", "token_1234", "password123", "secret_0000"]))
+    draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
+    pick = lambda k, choices: F.element_at(F.split(F.lit("|".join(choices)), r"\|"), draw(k, len(choices)) + 1)
+    ids = spark.range(per_kind).select("id", F.sha2(F.concat(F.lit("finding:"), F.col("id").cast("string")), 256).alias("hexes"))
+    # columns of their own, so that each is computed once and the generated code stays small
+    ids = ids.select("*", F.concat("hexes", F.md5("hexes")).alias("long"), F.base64(F.unhex("hexes")).alias("base64"), *(pick(k, DICTIONARY).alias(f"word{k}") for k in (1, 2, 3, 4)))
+    ids = ids.select(
+        "*", F.translate(F.upper("long"), "0123456789ABCDEF", "AQ2W7ERTY4UIOP9S").alias("upper"), F.regexp_replace("base64", "[+/=]", "k").alias("mixed"), F.regexp_replace("long", "[a-f]", "").alias("number"),
+        pick("prose", ["and then the ", "of the page ", "we saw that ", "in it, ", "und das ", "la que "]).alias("prose"), pick("after", [" and so on", " is here", "", ", the end", " of it"]).alias("say"),
+        pick("cred", ["the token = ", "set password=", "api_key: ", "secret = ", "with token: ", "pwd="]).alias("credential"), pick("digest", ["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "uuid "]).alias("digest"),
+        pick("path", ["src1", "app/main", "web", "config/prod", ""]).alias("path"), pick("tests", ["tests/unit", "docs/example", "fixtures", "spec/sample"]).alias("tests"),
+        pick("gh", ["ghp_", "gho_", "sk_live_", "xoxb-"]).alias("mark"), F.repeat(pick("steady", ["x", "0123456789", "abc123", "1234", "deadbeef"]), 6).alias("steady"),
+        F.concat(pick("fill", ["your_", "changeme_", "example-", "insert_", "dummy_"]), "word1", F.lit("_"), pick("tail", ["key_here1", "token_1234", "password123", "secret_0000"])).alias("filler"),
+        F.concat("word1", F.initcap("word2"), F.initcap("word3"), F.initcap("word4")).alias("name"), F.concat_ws("_", "word1", "word2", "word3", "word4").alias("snake"),
+        F.concat_ws("-", *(F.col("hexes").substr(at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))).alias("uuid"),
+    )
+    ids = ids.select("*", F.translate("mixed", "0123456789", "qZwXvJkQjK").alias("letters"))
+    word = lambda k: F.col(f"word{k}")
+    hexes, base64, upper, mixed, letters, number, uuid, name, steady, filler = map(F.col, "hexes base64 upper mixed letters number uuid name steady filler".split())
+    prose, say, credential, digest, path, tests = map(F.col, "prose say credential digest path tests".split())
+    cut = lambda column, lo, hi: column.substr(F.lit(1), draw("cut", hi - lo + 1) + lo)
+    camel, snake = F.concat("name", draw(9, 100).cast("string")), F.concat("snake", F.lit("_"), draw(9, 100).cast("string"))
     yes, no = F.lit(True), F.lit(False)
     kinds = [  # candidate, path, before, assigned, label
         (cut(hexes, 16, 64), path, credential, yes, 1),
@@ -113,7 +113,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
         (cut(base64, 20, 43), path, credential, yes, 1),
         (F.concat(F.lit("AKIA"), upper.substr(1, 16)), path, prose, no, 1),
         (F.concat(F.lit("AKIA"), upper.substr(1, 16)), path, credential, yes, 1),
-        (F.concat(pick("gh", ["ghp_", "gho_", "sk_live_", "xoxb-"]), mixed.substr(1, 36)), path, prose, no, 1),
+        (F.concat("mark", mixed.substr(1, 36)), path, prose, no, 1),
         (cut(upper, 20, 40), path, credential, yes, 1),
         (cut(mixed, 24, 43), path, prose, no, 1),
         (letters.substr(1, 40), path, credential, yes, 1),
@@ -127,7 +127,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
         (camel, path, prose, no, 0),
         (camel, path, credential, yes, 0),
         (snake, path, prose, no, 0),
-        (F.concat_ws("/", word(1), word(2), word(3), word(4), length(9, 1000, 2100).cast("string")), path, prose, no, 0),
+        (F.concat_ws("/", word(1), word(2), word(3), word(4), (draw(9, 1101) + 1000).cast("string")), path, prose, no, 0),
         (filler, path, credential, yes, 0),
         (steady, path, credential, yes, 0),
         (steady, path, prose, no, 0),
@@ -137,7 +137,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
         (F.concat(word(1), F.lit("."), word(2), F.lit("("), word(3), F.lit(")")), path, credential, yes, 0),
     ]
     kind = lambda i: F.struct(kinds[i][0].alias("candidate"), kinds[i][1].alias("path"), kinds[i][2].alias("before"), say.alias("after"), kinds[i][3].alias("assigned"), F.lit(kinds[i][4]).alias("label"))
-    return spark.range(per_kind).select(F.inline(F.array(*map(kind, range(len(kinds))))))
+    return ids.select(F.inline(F.array(*map(kind, range(len(kinds))))))
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> list:
@@ -158,18 +158,38 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     return [read(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode")) for tree in model.trees]
 
 
-def forest_score(forest: list, feature) -> Column:
-    """Mean share of secrets over the trees; feature maps a name to its column."""
+def _constant(values: list, kind: str) -> Column:
+    """An array literal as one expression, however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
-    def tree(node) -> Column:
-        if not isinstance(node, tuple):
-            return F.lit(node)
-        at, threshold, low, high = node
-        return F.when(feature(FEATURES[at]) <= F.lit(threshold), tree(low)).otherwise(tree(high))
 
-    total = tree(forest[0])
-    for one in forest[1:]:
-        total = total + tree(one)
+def forest_score(forest: list, values: Column) -> Column:
+    """Mean share of secrets over the trees; values is the array of FEATURES.
+
+    All nodes of all trees are numbered from 1; a leaf leads to itself, so each tree is walked
+    as many steps as the deepest one has.
+    """
+    feature, threshold, low, high, share, roots = [], [], [], [], [], []
+
+    def add(node, depth: int) -> tuple[int, int]:
+        at = len(feature) + 1
+        inner = isinstance(node, tuple)
+        for column, value in zip((feature, threshold, low, high, share), (node[0] + 1, node[1], at, at, 0.0) if inner else (1, 0.0, at, at, node), strict=True):
+            column.append(value)
+        if not inner:
+            return at, depth
+        (low[at - 1], a), (high[at - 1], b) = add(node[2], depth + 1), add(node[3], depth + 1)
+        return at, max(a, b)
+
+    deepest = 0
+    for tree in forest:
+        root, depth = add(tree, 0)
+        roots.append(root)
+        deepest = max(deepest, depth)
+    features, thresholds, lows, highs = _constant(feature, "int"), _constant(threshold, "double"), _constant(low, "int"), _constant(high, "int")
+    step = lambda at, _: F.when(F.element_at(values, F.element_at(features, at)) <= F.element_at(thresholds, at), F.element_at(lows, at)).otherwise(F.element_at(highs, at))
+    leaf = lambda root: F.aggregate(_constant(list(range(deepest)), "int"), root, step) if deepest else root
+    total = F.aggregate(_constant(roots, "int"), F.lit(0.0), lambda sum_, root: sum_ + F.element_at(_constant(share, "double"), leaf(root)))
     return total / F.lit(float(len(forest)))
 
 
@@ -195,10 +215,10 @@ def _judged(forest: list) -> Column:
 
     def measured(x: Column) -> Column:
         columns = feature_columns(x["candidate"], F.col("path"), x["before"], x["after"], F.length(x["head"]) > 0)
-        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), *(c.cast("double").alias(k) for k, c in columns.items()))
+        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), F.array(*(columns[k].cast("double") for k in FEATURES)).alias("values"))
 
     def scored(x: Column) -> Column:
-        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), forest_score(forest, lambda name: x[name]).alias("score"))
+        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), forest_score(forest, x["values"]).alias("score"))
 
     return F.transform(F.transform(F.transform("hits", facts), measured), scored)
 
