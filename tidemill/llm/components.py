@@ -27,6 +27,18 @@ def with_minimum(rows: DataFrame, key: str, value: str, name: str, count: int) -
     return dealt.join(light, ["_k", "_by_key"], "left").select(*rows.columns, F.coalesce("_hot_m", "_m").alias(name))
 
 
+def join_hot(rows: DataFrame, key: str, table: DataFrame, count: int) -> DataFrame:
+    """rows left-joined to table, which has one row for a key; keys of many rows go as in with_minimum."""
+    heavy = max(HEAVY_ROWS, count // HEAVY_SHARE)
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy).select(key)
+    hot = F.broadcast(often.join(table.withColumn("_found", F.lit(True)), key, "left"))
+    gained = [c for c in table.columns if c != key]
+    dealt = rows.join(hot.select(F.col(key).alias("_hot"), "_found", *(F.col(c).alias(f"_hot_{c}") for c in gained)), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumns({"_k": F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)), "_by_key": F.col("_hot").isNull()})
+    light = table.select(F.col(key).alias("_k"), F.lit(True).alias("_by_key"), *(F.col(c).alias(f"_own_{c}") for c in gained))
+    return dealt.join(light, ["_k", "_by_key"], "left").select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_own_{c}").alias(c) for c in gained))
+
+
 def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return with_minimum(both, "a", "b", "m", 2 * count).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
