@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE, on_oracle, relational
 from ..operators.budget import greedy_fill
-from ..operators.ranking import place_in_order
+from ..operators.ranking import firsts, interleave, marked_firsts, place_in_order, running_totals, tiered_order
 from ..sources.tables import table
 
 _BINS = "CASE WHEN n_chars < 200 THEN '02-04' WHEN n_chars < 600 THEN '05-08' WHEN n_chars < 1500 THEN '09-16' WHEN n_chars < 4000 THEN '17-32' ELSE '33+' END"
@@ -198,11 +198,63 @@ def _matched_batches(spark, sf_dir):
     return padded.groupBy("o_orderpriority", F.floor(F.col("i") / 16).alias("batch"), (F.col("i") % 4).alias("rank_")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 
+#: The order that the catalogue ranks documents by.
+_RANK = ["rk", "doc_id"]
+
+
+def _rank_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.concat("source", F.lit("/"), "lang").alias("graph"))
+    return rows.select("*", F.expr(_BINS).alias("bin"), F.sha2(F.concat(F.lit("order:17:"), F.col("doc_id").cast("string")), 256).alias("rk"))
+
+
+def _from_one(rows, *columns):
+    return rows.select(*columns, (F.col("place") + 1).alias("place"))
+
+
+def _candidate_order(spark, sf_dir):
+    return tiered_order(_rank_columns(spark, sf_dir), ["source"], _RANK, "lang", ["graph"], "de").select("doc_id", "tier", "pos")
+
+
+def _first_per_key(spark, sf_dir):
+    return firsts(_rank_columns(spark, sf_dir), ["lang"], _RANK).select("lang", "doc_id", "rk")
+
+
+def _length_round_robin(spark, sf_dir):
+    return _from_one(interleave(_rank_columns(spark, sf_dir), ["source"], "bin", _RANK), "doc_id", "source")
+
+
+def _diversity_order(spark, sf_dir):
+    rows = marked_firsts(_rank_columns(spark, sf_dir), ["source", "lang"], _RANK, "best").withColumn("block", F.when(F.col("best"), 0).otherwise(1))
+    return _from_one(interleave(rows, ["source"], "bin", _RANK, ("block",)), "doc_id", "source")
+
+
+def _graph_round_robin(spark, sf_dir):
+    rows = place_in_order(_rank_columns(spark, sf_dir), _RANK, ["graph"], name="view").withColumn("view_idx", F.col("view") + 1)
+    return _from_one(interleave(rows, ["source"], "bin", _RANK, ("view_idx",)), "doc_id", "source", "view_idx")
+
+
+def _organism_round_robin(spark, sf_dir):
+    rows = place_in_order(_rank_columns(spark, sf_dir), _RANK, ["source", "lang"], name="qpos")
+    return _from_one(interleave(rows, ["source"], "bin", _RANK, ("qpos",)), "doc_id", "source")
+
+
+def _budget_prefix_sum(spark, sf_dir):
+    summed = running_totals(_rank_columns(spark, sf_dir), _RANK, "n_chars", ["source"]).withColumn("upto", F.col("before") + F.col("n_chars"))
+    return summed.where("upto <= 20000").select("doc_id", "source", "upto")
+
+
 QUERIES = relational(
-    candidate_order, first_per_key, length_bins, length_round_robin, diversity_order, graph_round_robin, organism_round_robin, family_cap_topk, coverage_summary, prefix_choices, even_prefixes, all_prefixes,
-    horizon_label, epoch_prefix_view, budget_prefix_sum, head_sample, event_sort_key, range_selection, balanced_oversample,
+    length_bins, family_cap_topk, coverage_summary, prefix_choices, even_prefixes, all_prefixes,
+    horizon_label, epoch_prefix_view, head_sample, event_sort_key, range_selection, balanced_oversample,
 ) | {
     "budget_greedy_skip": (_greedy, _GREEDY_ORACLE),
+    "candidate_order": (_candidate_order, on_oracle(candidate_order(ORACLE))),
+    "first_per_key": (_first_per_key, on_oracle(first_per_key(ORACLE))),
+    "length_round_robin": (_length_round_robin, on_oracle(length_round_robin(ORACLE))),
+    "diversity_order": (_diversity_order, on_oracle(diversity_order(ORACLE))),
+    "graph_round_robin": (_graph_round_robin, on_oracle(graph_round_robin(ORACLE))),
+    "organism_round_robin": (_organism_round_robin, on_oracle(organism_round_robin(ORACLE))),
+    "budget_prefix_sum": (_budget_prefix_sum, on_oracle(budget_prefix_sum(ORACLE))),
     "length_grouped_batches": (_length_grouped, on_oracle(length_grouped_batches(ORACLE))),
     "matched_global_batches": (_matched_batches, on_oracle(matched_global_batches(ORACLE))),
 }

@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.files import scratch
 
 
-def ingest_once(spark: SparkSession, folder: str, schema, pattern: str, key: str) -> DataFrame:
+def ingest_once(spark: SparkSession, folder: str, schema, pattern: str, key: str, where: str | None = None) -> DataFrame:
     """Rows of the files of a folder, each file once and each key once, resumable from its checkpoint.
 
-    The folder is the source of a file stream; a second run with the same checkpoint adds
-    only files that are new. Returns the sink's table.
+    The folder is the source of a file stream; a second run with the same where (the folder of
+    log and checkpoint) adds only files that are new and keys that the log lacks. The keys seen
+    so far are the log itself, joined against each batch, so that no state grows in the
+    executors; a batch that is tried again replaces its own part. Returns the log as a table.
     """
-    where = scratch(spark, "ingest")
+    where = where or scratch(spark, "ingest")
     rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    once = rows.dropDuplicates([key])
-    query = once.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/rows").trigger(availableNow=True).start()
+    layout = StructType([*rows.schema.fields, StructField("_batch", LongType())])
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{where}/rows/_batch=-1")
+
+    def append(batch: DataFrame, number: int) -> None:
+        log = batch.sparkSession.read.schema(layout).parquet(f"{where}/rows").where(F.col("_batch") < number)
+        fresh = batch.dropDuplicates([key]).join(log.select(F.col(key).alias("_seen")), F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        fresh.select(*rows.columns).write.mode("overwrite").parquet(f"{where}/rows/_batch={number}")
+
+    query = rows.writeStream.foreachBatch(append).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{where}/rows")
+    return spark.read.schema(layout).parquet(f"{where}/rows").drop("_batch")
 
 
 def windowed_counts(spark: SparkSession, folder: str, schema, pattern: str, time: str, kind: str, length: str, late: str) -> DataFrame:
-    """Event counts by window and kind of a file stream with a watermark; complete at the end of what is there."""
+    """Event counts by window and kind of a file stream with a watermark; complete at the end of what is there.
+
+    Each trigger writes the whole table of counts anew; the last one is returned.
+    """
     where = scratch(spark, "windows")
     rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("_t", F.col(time).cast("timestamp"))
     counts = rows.withWatermark("_t", late).groupBy(F.window("_t", length).alias("w"), F.col(kind)).agg(F.count("*").alias("n"))
-    name = "windows_" + where.rpartition("-")[2]
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/counts")
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("begin"), kind, "n")
+    counted = spark.read.schema(counts.schema).parquet(f"{where}/counts")
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("begin"), kind, "n")
