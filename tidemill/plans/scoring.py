@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dialect import relational
+from ..functions.dialect import ORACLE, on_oracle, relational
 from ..operators import sequences
+from ..operators.vectors import cosine, pairs_ahead, squared_distance
 from ..sources.tables import table
 
 _TURNS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS target, b.text AS predicted FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
@@ -301,11 +302,31 @@ def _shuffled(spark, sf_dir):
     return sequences.shuffled_negatives(table(spark, sf_dir, "conversations"), "conv_id", "turn", wanted=3)
 
 
+def _vector_pairs(spark, sf_dir, steps=1):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return pairs_ahead(rows, "vec_id", "embedding", steps).withColumn("d2", squared_distance("x", "y"))
+
+
+def _cosine_pairs(spark, sf_dir):
+    pairs = _vector_pairs(spark, sf_dir)
+    return pairs.select("vec_id", F.round(cosine("x", "y"), 7).alias("cosine"), F.round(F.sqrt("d2"), 7).alias("distance"))
+
+
+def _mse_points(spark, sf_dir):
+    return _vector_pairs(spark, sf_dir).groupBy("label").agg(F.round(F.sum("d2") / F.sum(F.size("x")), 8).alias("mse"), F.countDistinct("vec_id").alias("n"))
+
+
+def _horizon_metrics(spark, sf_dir):
+    return _vector_pairs(spark, sf_dir, 3).groupBy("ahead").agg(F.count("*").alias("n"), F.round(F.avg(F.col("d2") / F.size("x")), 8).alias("mse"))
+
+
 QUERIES = relational(
     entity_prf, multiset_f1, stepwise_score, reference_sets, enrichment_bh, retrieval_rank, candidate_rerank, calibrated_rerank, best_of_candidates, ko_rescue, rescue_rank, conditional_minima, js_divergence,
-    cosine_pairs, mse_points, horizon_metrics, pearson_spearman, topk_delta_corr, paired_win_rate, latent_geometry, layer_mean_pool, linspace_downsample, trajectory_slice, pad_trajectory, velocity, gaps_islands_layers,
+    pearson_spearman, topk_delta_corr, paired_win_rate, latent_geometry, layer_mean_pool, linspace_downsample, trajectory_slice, pad_trajectory, velocity, gaps_islands_layers,
     multiscale_time, capped_flatten, early_stop_trace, stability_gate, qa_by_tag, cell_sentence_eval, counterfactual_metrics, runtime_estimate, squared_error_objective, warmup_scale,
-) | {"dtw_distance": (_dtw, None), "lcs_length": (_lcs, None), "linear_rollout": (_rollout, _ROLLOUT_ORACLE), "shuffled_negatives": (_shuffled, None)}
+) | {
+    "cosine_pairs": (_cosine_pairs, on_oracle(cosine_pairs(ORACLE))), "mse_points": (_mse_points, on_oracle(mse_points(ORACLE))), "horizon_metrics": (_horizon_metrics, on_oracle(horizon_metrics(ORACLE))),
+} | {"dtw_distance": (_dtw, None), "lcs_length": (_lcs, None), "linear_rollout": (_rollout, _ROLLOUT_ORACLE), "shuffled_negatives": (_shuffled, None)}
 
 QUERIES["enrichment_bh"] = (QUERIES["enrichment_bh"][0], _ENRICH_ORACLE + " SELECT q, s, x::BIGINT AS x, round(p, 7) AS p, round(fdr, 7) AS fdr FROM fdr")
 QUERIES["retrieval_rank"] = (
