@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, host_rules, importance, language, mixing, quality, secrets, simhash, substring_dedup, token_counts, vector_dedup
+from . import bpe, conversations, host_rules, importance, language, mixing, quality, secrets, simhash, substring_dedup, token_counts, toxicity, vector_dedup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,13 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.drop("host_rate")
 
 
+def op11_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.ACCEPT).cast("int").alias("predicted"))
+
+
 def op12_crc_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -92,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Builder]:
     every = (
         op1_secret_scan, op2_bpe_codec, op3_pareto_mix, op4_language_mixture, op5_compression_quality, op6_trie_token_counts,
-        op7_collision_counting, op8_suffix_automata, op9_simhash_variants, op10_host_rules, op12_crc_ring, op13_dial_repair, pipeline,
+        op7_collision_counting, op8_suffix_automata, op9_simhash_variants, op10_host_rules, op11_gated_toxicity, op12_crc_ring, op13_dial_repair, pipeline,
     )
     return {f.__name__: f for f in every}
 
