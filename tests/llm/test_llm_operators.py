@@ -129,9 +129,9 @@ def forest(spark):
 
 def test_forest_expression_equals_the_trees(spark, forest):
     rows = secrets.labelled_findings(spark, 12)
-    columns = secrets.feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), F.col("assigned"))
+    columns = secrets.feature_columns(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), F.col("assigned"), forest.pairs)
     table = rows.select("label", *(c.cast("double").alias(k) for k, c in columns.items()))
-    table = table.withColumn("score", secrets.forest_score(forest, F.array(*secrets.FEATURES)))
+    table = table.withColumn("score", secrets.forest_score(forest.trees, F.array(*secrets.FEATURES)))
 
     def walk(node, row):
         while isinstance(node, tuple):
@@ -139,7 +139,7 @@ def test_forest_expression_equals_the_trees(spark, forest):
         return node
 
     got = table.collect()
-    assert all(abs(r["score"] - sum(walk(t, r) for t in forest) / len(forest)) < 1e-9 for r in got)
+    assert all(abs(r["score"] - sum(walk(t, r) for t in forest.trees) / len(forest.trees)) < 1e-9 for r in got)
     assert sum((r["score"] >= 0.5) == (r["label"] == 1) for r in got) > 0.9 * len(got)
 
 

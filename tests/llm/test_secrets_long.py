@@ -48,7 +48,7 @@ def test_candidates_equal_a_plain_scan(spark):
         while at < len(text):
             head = credential.match(text, at)
             value = re.match(r"[^\s\"']+", text[head.end() :]) if head else None
-            if value and len(value[0]) >= 8:
+            if value and len(value[0]) >= secrets.LEAST:
                 out.add(value[0])
                 at = head.end() + len(value[0])
                 continue

@@ -10,12 +10,15 @@ redaction are one pass over the table without a shuffle, a Python worker or a mo
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Credential words, digest words, placeholder words, dictionary, common letter pairs.
+# Credential words, digest words, placeholder words, dictionary.
 CREDENTIAL = "passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
 DIGEST = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|revision|uuid|guid|etag|build|version"
 PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|insert|fake|test|todo|redacted|xxxx"
@@ -31,33 +34,59 @@ DICTIONARY = (
     "start state static status step stop store stream string style submit success switch system table tag target task template test text that the theme this thread time title "
     "token tool top total track type update upload user util valid value version video view visible web width window with word work write year your"
 ).split()
-COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
+#: An assigned value is a candidate from so many characters on, a free token from 16.
+LEAST = 6
 PATTERN = (
-    rf"(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"']{{8,}}+"
+    rf"(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)[^\s\"']{{{LEAST},}}+"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*+[A-Za-z0-9+/_-]*?[a-z][A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
-HEAD = rf"^(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)(?=[^\s\"']{{8}})"
+HEAD = rf"^(?i:(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)(?=[^\s\"']{{{LEAST}}})"
 CONTEXT = 48
 REDACTED = "[REDACTED]"
 ACCEPT = 0.5
-TREES, DEPTH = 24, 6
+TREES, DEPTH = 32, 8
+#: Pairs of characters that are this many times likelier (log) in findings that are no secrets count as common.
+PAIR_ODDS = 0.5
 
 FEATURES = ("length", "digits", "uppers", "symbols", "class_changes", "common_pairs", "distinct", "longest_run", "dictionary", "path_test", "near_credential", "near_digest", "near_placeholder", "assigned", "own_placeholder")
 
 
+class Forest(NamedTuple):
+    """trees: nested tuples, a share of secrets or (feature index, threshold, left, right); pairs: common transitions."""
+
+    trees: list
+    pairs: list[str]
+
+
 def _left(column: Column, pattern: str) -> Column:
     """Characters that a pattern covers."""
     return F.length(column) - F.length(F.regexp_replace(column, pattern, ""))
 
 
-def feature_columns(candidate: Column, path: Column, before: Column, after: Column, assigned: Column) -> dict[str, Column]:
+def common_pairs(findings: DataFrame) -> list[str]:
+    """The character transitions that mark what is no secret: pairs of letters whose share among the
+    pairs of findings labelled 0 is exp(PAIR_ODDS) times that among those labelled 1, each count plus one.
+
+    Counts of at most 26 * 26 pairs a label come to the driver.
+    """
+    word = F.lower(F.col("candidate").cast("string"))
+    pairs = findings.where("label IN (0, 1)").select("label", F.explode(F.concat(F.regexp_extract_all(word, F.lit("[a-z]{2}"), 0), F.regexp_extract_all(F.substr(word, F.lit(2)), F.lit("[a-z]{2}"), 0))).alias("pair"))
+    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    total = {y: sum(n for (k, _), n in counts.items() if k == y) + 676 for y in (0, 1)}
+    odds = {pair: math.log((counts.get((0, pair), 0) + 1) / total[0]) - math.log((counts.get((1, pair), 0) + 1) / total[1]) for _, pair in counts}
+    return sorted(pair for pair, o in odds.items() if o >= PAIR_ODDS)
+
+
+def feature_columns(candidate: Column, path: Column, before: Column, after: Column, assigned: Column, pairs: list[str]) -> dict[str, Column]:
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     lower = F.lower(candidate)
     classes = candidate
     for pattern, mark in (("[a-z]", "l"), ("[A-Z]", "U"), ("[0-9]", "9"), ("[^lU9]", "-")):
         classes = F.regexp_replace(classes, pattern, mark)
     flag = lambda column, words: F.coalesce(column.rlike(f"(?i)(?:{words})"), F.lit(False)).cast("double")
+    # a word beside the candidate counts where it stands alone: prose holds these letters inside other words
+    near = lambda column, words: flag(column, rf"(?<![\p{{L}}])(?:{words})(?![\p{{L}}])")
     words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
     return {
         "length": n,
@@ -65,14 +94,14 @@ def feature_columns(candidate: Column, path: Column, before: Column, after: Colu
         "uppers": _left(candidate, "[A-Z]") / n,
         "symbols": _left(candidate, "[^A-Za-z0-9]") / n,
         "class_changes": (F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1) / n,
-        "common_pairs": _left(lower, "|".join(COMMON_PAIRS)) / n,
+        "common_pairs": (_left(lower, "|".join(pairs)) / n if pairs else F.lit(0.0)),
         "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(24.0)),
         "longest_run": F.length(F.regexp_extract(lower, r"(.{1,4})\1{2,}|01234+|12345+|abcde+", 0)) / n,
         "dictionary": _left(lower, words) / n,
         "path_test": flag(path, "test|example|fixture|sample|mock|spec|doc"),
-        "near_credential": flag(F.concat(before, F.lit(" "), after), CREDENTIAL),
-        "near_digest": flag(before, DIGEST),
-        "near_placeholder": flag(F.concat(before, F.lit(" "), after), PLACEHOLDER),
+        "near_credential": near(F.concat(before, F.lit(" "), after), CREDENTIAL),
+        "near_digest": near(before, DIGEST),
+        "near_placeholder": near(F.concat(before, F.lit(" "), after), PLACEHOLDER),
         "assigned": assigned.cast("double"),
         "own_placeholder": flag(candidate, PLACEHOLDER),
     }
@@ -93,7 +122,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
     ids = ids.select(
         "*", F.translate(F.upper("long"), "0123456789ABCDEF", "AQ2W7ERTY4UIOP9S").alias("upper"), F.regexp_replace("base64", "[+/=]", "k").alias("mixed"), F.regexp_replace("long", "[a-f]", "").alias("number"),
         pick("prose", ["and then the ", "of the page ", "we saw that ", "in it, ", "und das ", "la que "]).alias("prose"), pick("after", [" and so on", " is here", "", ", the end", " of it"]).alias("say"),
-        pick("cred", ["the token = ", "set password=", "api_key: ", "secret = ", "with token: ", "pwd="]).alias("credential"), pick("digest", ["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "uuid "]).alias("digest"),
+        F.concat(pick("ahead", ["", "of the page ", "it is thereon. ", "der die enlich, ", "queue ension ", "in 2024 ", "{"]), pick("cred", ["token = \"", "password=", "api_key: ", "secret = '", "token: ", "pwd=", "auth: \"", "access_key=", "bearer: "])).alias("credential"), pick("digest", ["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "uuid "]).alias("digest"),
         pick("path", ["src1", "app/main", "web", "config/prod", ""]).alias("path"), pick("tests", ["tests/unit", "docs/example", "fixtures", "spec/sample"]).alias("tests"),
         pick("gh", ["ghp_", "gho_", "sk_live_", "xoxb-"]).alias("mark"), F.repeat(pick("steady", ["x", "0123456789", "abc123", "1234", "deadbeef"]), 6).alias("steady"),
         F.concat(pick("fill", ["your_", "changeme_", "example-", "insert_", "dummy_"]), "word1", F.lit("_"), pick("tail", ["key_here1", "token_1234", "password123", "secret_0000"])).alias("filler"),
@@ -117,6 +146,12 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
         (cut(upper, 20, 40), path, credential, yes, 1),
         (cut(mixed, 24, 43), path, prose, no, 1),
         (letters.substr(1, 40), path, credential, yes, 1),
+        (hexes.substr(1, 40), path, credential, yes, 1),
+        (hexes.substr(1, 40), path, credential, yes, 1),
+        (cut(mixed, 6, 15), path, credential, yes, 1),
+        (F.concat(cut(F.translate(hexes, "0123456789", "ghjkmnpqrs"), 3, 6), draw(11, 9000).cast("string")), path, credential, yes, 1),
+        (word(1), path, credential, yes, 0),
+        (F.concat(word(1), F.lit(".")), path, credential, yes, 0),
         (cut(letters, 24, 43), path, prose, no, 1),
         (name, path, prose, no, 0),
         (name, path, credential, yes, 0),
@@ -140,13 +175,14 @@ def labelled_findings(spark: SparkSession, per_kind: int = 160) -> DataFrame:
     return ids.select(F.inline(F.array(*map(kind, range(len(kinds))))))
 
 
-def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> list:
-    """Trees as nested tuples: a share of secrets, or (feature index, threshold, left, right)."""
+def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Forest:
+    """The trees, and the transitions that their features were measured with."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    columns = feature_columns(text("candidate"), text("path"), text("before"), text("after"), F.coalesce(F.col("assigned"), F.lit(False)))
+    pairs = common_pairs(findings)
+    columns = feature_columns(text("candidate"), text("path"), text("before"), text("after"), F.coalesce(F.col("assigned"), F.lit(False)), pairs)
     rows = findings.where("label IN (0, 1)").select(F.col("label").cast("double").alias("label"), *(c.cast("double").alias(k) for k, c in columns.items()))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.coalesce(1))
-    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(rows)
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", minInstancesPerNode=2).fit(rows)
 
     def read(node):
         if node.getClass().getSimpleName() == "LeafNode":
@@ -155,7 +191,7 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
         split = node.split()
         return int(split.featureIndex()), float(split.threshold()), read(node.leftChild()), read(node.rightChild())
 
-    return [read(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode")) for tree in model.trees]
+    return Forest([read(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode")) for tree in model.trees], pairs)
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -204,7 +240,7 @@ def _pieces(docs: DataFrame, path: str, carried: list[Column], filtered: bool =
     return rows.select("*", F.when(has, F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("hits"), F.when(has, F.split("text", PATTERN, -1)).alias("gaps"))
 
 
-def _judged(forest: list) -> Column:
+def _judged(forest: Forest) -> Column:
     """One struct per candidate: head (the assignment before it), candidate, features, then its score."""
 
     def facts(hit: Column, i: Column) -> Column:
@@ -214,22 +250,23 @@ def _judged(forest: list) -> Column:
         return F.struct(i.alias("i"), head.alias("head"), hit.substr(F.length(head) + 1, F.length(hit)).alias("candidate"), before.alias("before"), after.alias("after"))
 
     def measured(x: Column) -> Column:
-        columns = feature_columns(x["candidate"], F.col("path"), x["before"], x["after"], F.length(x["head"]) > 0)
+        columns = feature_columns(x["candidate"], F.col("path"), x["before"], x["after"], F.length(x["head"]) > 0, forest.pairs)
         return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), F.array(*(columns[k].cast("double") for k in FEATURES)).alias("values"))
 
     def scored(x: Column) -> Column:
-        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), forest_score(forest, x["values"]).alias("score"))
+        return F.struct(x["i"].alias("i"), x["head"].alias("head"), x["candidate"].alias("candidate"), forest_score(forest.trees, x["values"]).alias("score"))
 
     return F.transform(F.transform(F.transform("hits", facts), measured), scored)
 
 
-def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: list | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: Forest | None = None) -> DataFrame:
     """One row per candidate: doc_id, begin and end (0-based code points), candidate, kind, score, is_secret.
 
     findings are labelled findings (columns as in labelled_findings, which is the default);
-    path names the column of docs that says where a text lies. A token that is not assigned
-    to anything is a candidate from 16 characters on, if it holds a digit or an upper-case
-    letter right after a lower-case one. Null and empty texts have no candidates; repeated
+    path names the column of docs that says where a text lies. A value assigned to a credential
+    word is a candidate from LEAST characters on, up to the next white space or quote (a key over several
+    lines is one candidate a line); a token that is not assigned to anything from 16 characters on, if it
+    holds a digit or an upper-case letter right after a lower-case one. Null and empty texts have no candidates; repeated
     rows repeat theirs; other columns of docs are ignored, whatever their names; an empty
     table gives an empty result.
     """
@@ -241,7 +278,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str =
     return rows.select("doc_id", "begin", (F.col("begin") + F.length("at.candidate")).alias("end"), "at.candidate", kind.alias("kind"), "at.score", (F.col("at.score") >= accept).alias("is_secret"))
 
 
-def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: list | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT, forest: Forest | None = None) -> DataFrame:
     """docs with every secret replaced by REDACTED in text; all rows and columns stay.
 
     Null, empty and blank texts are unchanged; repeated rows are redacted alike; the other
