@@ -43,3 +43,18 @@ def inventory(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def write_release(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("errorifexists").partitionBy(*by).parquet(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the scratch folder: computed once, its plan ends there, it outlives lost executors."""
+    where = scratch(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of kept() that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
