@@ -111,7 +111,7 @@ def structured_records(events: DataFrame, layered: DataFrame | None = None) -> D
     such, n_unattached context events that do not fit the view, n_beyond backbone events of other views.
     """
     layered = layered_events(events) if layered is None else layered
-    own = F.struct("order", "event_id", "producers", "semantic", "sources", "targets", "role", "arcs", "content", "text", "conflicts")
+    own = F.struct("order", "event_id", "producers", "semantic", "sources", "targets", "role", "arcs", "content", "text", "conflicts", "n_context")
     by = ["graph", "view_id", "record_id", "sink_nodes"]
     layer = layered.groupBy(*by, "layer_index", "distance_to_sink").agg(F.array_sort(F.collect_list(own)).alias("events"), F.sum(F.size("producers")).alias("_p"), F.sum("n_context").alias("_c"), F.sum(F.size("conflicts")).alias("_x"))
     record = layer.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("layer_index", "distance_to_sink", "events"))).alias("layers"), F.sum("_p").alias("n_producers"), F.sum("_c").alias("_attached"), F.sum("_x").alias("n_conflicts"))
