@@ -32,6 +32,10 @@ class Dialect:
     def series(self, a, b):
         return f"sequence({a}, {b})"
 
+    def places(self, array):
+        """1, 2, ... for the elements of an array of any length."""
+        return f"transform({array}, (x, i) -> i + 1)"
+
     def rx(self, pattern):
         return "r'" + pattern + "'"
 
@@ -140,6 +144,9 @@ class Oracle(Dialect):
     def series(self, a, b):
         return f"generate_series({a}, {b})"
 
+    def places(self, array):
+        return f"range(1, len({array}) + 1)"
+
     def rx(self, pattern):
         return f"'{pattern}'"
 

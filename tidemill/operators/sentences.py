@@ -22,7 +22,10 @@ def _inside_sentence(text: str, begin: int, end: int) -> bool:
     """Whether the stops text[begin:end] belong to an abbreviation, a row of initials or the initial of a name."""
     if text[begin:end].strip("."):
         return False
-    token = text[max((m.end() for m in _OPENING.finditer(text, max(0, begin - 64), begin)), default=max(0, begin - 64)) : end]
+    first = begin
+    while first and not _OPENING.match(text[first - 1]):
+        first -= 1
+    token = text[first:end]
     if token.casefold() in ABBREVIATIONS or _LETTERS.fullmatch(token):
         return True
     if len(token) == 2 and token[0].isalpha():

@@ -30,7 +30,7 @@ def event_set_score(d):
 
 def perturbed_summary(d):
     """Correlation of deltas from a control mean per vector, averaged by label, with the paired win rate over the plain copy."""
-    return f"""WITH dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.series(1, 64))} AS i FROM @embeddings)), c AS (SELECT i, avg(x) AS m FROM dims WHERE label = 0 GROUP BY i),
+    return f"""WITH dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.places('embedding'))} AS i FROM @embeddings)), c AS (SELECT i, avg(x) AS m FROM dims WHERE label = 0 GROUP BY i),
       p AS (SELECT a.vec_id, a.label, round(corr(a.x - c.m, b.x - c.m), 9) AS delta_r, round(corr(a.x, b.x), 9) AS plain_r FROM dims a JOIN dims b ON b.vec_id = a.vec_id + 1 AND a.i = b.i JOIN c ON a.i = c.i GROUP BY a.vec_id, a.label)
       SELECT label, count(*) AS n, round(avg(delta_r), 6) AS delta_r, round(avg(CASE WHEN delta_r > plain_r THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM p GROUP BY label"""
 
@@ -43,7 +43,7 @@ def complete_layer_retention(d):
 
 def reconstruction_self_consistency(d):
     """Error of each vector against the mean of its label, by label, and the share within a bound."""
-    return f"""WITH dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.series(1, 64))} AS i FROM @embeddings)), c AS (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i),
+    return f"""WITH dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.places('embedding'))} AS i FROM @embeddings)), c AS (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i),
       e AS (SELECT dims.vec_id, dims.label, round(avg((x - m) * (x - m)), 9) AS mse FROM dims JOIN c ON dims.label = c.label AND dims.i = c.i GROUP BY dims.vec_id, dims.label) SELECT label, round(avg(mse), 7) AS mse, round(avg(CASE WHEN mse < 0.0156 THEN 1.0 ELSE 0.0 END), 6) AS within FROM e GROUP BY label"""
 
 

@@ -140,7 +140,7 @@ def js_divergence(d):
 
 
 def _dims(d, limit=""):
-    return f"dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.series(1, 64))} AS i FROM @embeddings){limit})"
+    return f"dims AS (SELECT vec_id, label, i, CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, {d.explode(d.places('embedding'))} AS i FROM @embeddings){limit})"
 
 
 def cosine_pairs(d):
@@ -156,7 +156,7 @@ def mse_points(d):
 
 def horizon_metrics(d):
     """Error by horizon: vectors one to three ahead."""
-    return f"""WITH {_dims(d)}, k AS (SELECT vec_id, i, x, {d.explode(d.series(1, 3))} AS ahead FROM dims), h AS (SELECT CAST(k.ahead AS BIGINT) AS ahead, k.vec_id, sum((k.x - b.x) * (k.x - b.x)) / 64 AS mse FROM k JOIN dims b ON b.vec_id = k.vec_id + k.ahead AND k.i = b.i GROUP BY CAST(k.ahead AS BIGINT), k.vec_id)
+    return f"""WITH {_dims(d)}, k AS (SELECT vec_id, i, x, {d.explode(d.series(1, 3))} AS ahead FROM dims), h AS (SELECT CAST(k.ahead AS BIGINT) AS ahead, k.vec_id, avg((k.x - b.x) * (k.x - b.x)) AS mse FROM k JOIN dims b ON b.vec_id = k.vec_id + k.ahead AND k.i = b.i GROUP BY CAST(k.ahead AS BIGINT), k.vec_id)
       SELECT ahead, count(*) AS n, round(avg(mse), 8) AS mse FROM h GROUP BY ahead"""
 
 

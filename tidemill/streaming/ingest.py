@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.files import scratch
@@ -32,19 +35,31 @@ def ingest_once(spark: SparkSession, folder: str, schema, pattern: str, key: str
     return spark.read.schema(layout).parquet(f"{where}/rows").drop("_batch")
 
 
-def windowed_counts(spark: SparkSession, folder: str, schema, pattern: str, time: str, kind: str, length: str, late: str) -> DataFrame:
-    """Event counts by window and kind of a file stream with a watermark; complete at the end of what is there.
+def windowed_counts(
+    spark: SparkSession, folder: str, schema, pattern: str, time: str, kind: str, length: str, late: str, files_per_trigger: int | None = None, watch: Callable[[StreamingQuery], None] | None = None
+) -> DataFrame:
+    """Event counts by window and kind of a file stream, up to the end of what is there.
 
-    Each trigger writes the whole table of counts anew; the last one is returned.
+    The state holds the windows that the watermark (late behind the newest event) still leaves
+    open, and no others; later events of closed windows are dropped. A trigger appends the counts of
+    the windows that it changed, and the newest count of a window is the one that holds; a trigger that
+    is tried again replaces its own part. watch, if given, is called with the query at its end.
     """
     where = scratch(spark, "windows")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("_t", F.col(time).cast("timestamp"))
+    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_trigger:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
+    rows = source.parquet(folder).withColumn("_t", F.col(time).cast("timestamp"))
     counts = rows.withWatermark("_t", late).groupBy(F.window("_t", length).alias("w"), F.col(kind)).agg(F.count("*").alias("n"))
+    layout = StructType([*counts.schema.fields, StructField("_batch", LongType())])
+    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{where}/counts/_batch=-1")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/counts")
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/counts/_batch={number}")
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    counted = spark.read.schema(counts.schema).parquet(f"{where}/counts")
+    if watch:
+        watch(query)
+    counted = spark.read.schema(layout).parquet(f"{where}/counts").groupBy("w", kind).agg(F.max_by("n", "_batch").alias("n"))
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("begin"), kind, "n")
