@@ -11,7 +11,7 @@ from ..session import let_workers_import
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("splitting", "ordering", "auditing", "texts", "scoring", "graphs", "connectors", "composites", "evaluations", "records", "answers", "continuations", "phrases")
+MODULES = ("splitting", "ordering", "auditing", "texts", "scoring", "graphs", "connectors", "composites", "evaluations", "records", "answers", "continuations", "phrases", "fallbacks")
 
 
 def _entries() -> dict[str, tuple[Builder, str | None]]:
