@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dialect import relational
-from ..sources import files
+from ..sources import files, records
 from ..sources.tables import table
 from ..streaming import ingest
 
@@ -56,6 +56,20 @@ def _windows(spark, sf_dir):
     return ingest.windowed_counts(spark, sf_dir, schema, "events.parquet", "ts", "event_type", "1 day", "1 hour")
 
 
+def _record_files(spark, sf_dir):
+    """Turns as lines of JSON, every seventh conversation cut; pages as csv; nations as a JSON file of records for each region."""
+    lines, cells, whole = (files.scratch(spark, kind) for kind in ("lines", "cells", "whole"))
+    told = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 7 == 0, F.substr(told, F.lit(1), F.length(told) - 1)).otherwise(told).alias("value")).write.text(lines)
+    files.write_text(table(spark, sf_dir, "pages").select("page_id", "html"), cells)
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("records"))
+    nations.select("n_regionkey", F.to_json(F.struct("records")).alias("value")).write.partitionBy("n_regionkey").text(whole)
+    size = lambda path: F.length(F.try_variant_get("record", path, "string"))
+    read = lambda path, kind, name, text: records.load_records(spark, path, kind).select(F.lit(name).alias("kind"), "status", F.coalesce(size(text), F.lit(0)).alias("chars"), F.coalesce("position", F.lit(0)).alias("position"))
+    every = read(lines, "lines", "lines", "$.text").unionByName(read(cells, "csv", "csv", "$.html")).unionByName(read(whole, "json", "json", "$.n_name"))
+    return every.groupBy("kind", "status").agg(F.count("*").alias("n"), F.sum("chars").cast("bigint").alias("chars"), F.max("position").cast("bigint").alias("last"))
+
+
 def tumbling_windows(d):
     return f"SELECT {d.days('ts')} AS day_, event_type, count(*) AS n FROM @events GROUP BY {d.days('ts')}, event_type"
 
@@ -73,5 +87,10 @@ QUERIES = relational(tumbling_windows, manifest_lines) | {
     "file_identity_scan": (_inventory, "SELECT * FROM (VALUES ('nation.parquet', true, true), ('region.parquet', true, true)) t(name, filled, hashed)"),
     "record_roundtrip": (_record_roundtrip, "SELECT o_orderstatus, count(*) AS n, count(*) AS same FROM orders GROUP BY o_orderstatus"),
     "incremental_ingest": (_ingest, "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type"),
+    "record_files": (
+        _record_files,
+        """SELECT 'lines' AS kind, CASE WHEN conv_id % 7 = 0 THEN 'invalid_json' ELSE 'ok' END AS status, count(*) AS n, CAST(coalesce(sum(CASE WHEN conv_id % 7 <> 0 THEN length(text) END), 0) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS last FROM conversations GROUP BY 2
+        UNION ALL SELECT 'csv', 'ok', count(*), CAST(sum(length(html)) AS BIGINT), 0 FROM pages UNION ALL SELECT 'json', 'ok', count(*), CAST(sum(length(n_name)) AS BIGINT), (SELECT max(c) - 1 FROM (SELECT count(*) AS c FROM nation GROUP BY n_regionkey)) FROM nation""",
+    ),
     "stream_windows": (_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
