@@ -31,7 +31,9 @@ WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, UNITS = 8192, 65536, 8, 12, 8
 #: The bounded sample that training takes: labelled texts of at most TEXT_BYTES, so many bytes of class 0 and of class 1.
 TEXT_BYTES, CLASS_BYTES = 1 << 15, (12 << 20, 3 << 20)
 #: Passes of each round over its windows (some more than once to reach LEAST_WINDOWS), and what training needs besides.
-ROUNDS, LEAST_WINDOWS, BATCH, RATE, WORD_DROP, DECAY = (1, 1), 20_000, 512, 0.01, 0.3, 0.2
+ROUNDS, LEAST_WINDOWS, LEAST_BATCH, BATCH, RATE, WORD_DROP, DECAY = (1, 1), 20_000, 64, 512, 0.01, 0.3, 0.2
+#: A word has a vector of its own from so many training texts on.
+LEAST_TEXTS = 4
 #: Windows that are scored at a time.
 STEP_WINDOWS = 4096
 ACCEPT = 0.3
@@ -233,12 +235,21 @@ def fresh_net(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
+def own_rows(read: Words) -> np.ndarray:
+    """Which rows of hashed words stand in LEAST_TEXTS texts or more; rarer ones say more of their text than of the class."""
+    text = np.repeat(np.arange(len(read.firsts) - 1), np.diff(read.firsts))
+    pairs = np.unique(text * WORD_ROWS + read.own[read.words])
+    return np.bincount(pairs % WORD_ROWS, minlength=WORD_ROWS) >= LEAST_TEXTS
+
+
 def fit_network(read: Words, y: np.ndarray, seed: int = 0, rounds: tuple[int, ...] = ROUNDS) -> dict[str, np.ndarray]:
     """A network trained by Adam on the windows of labelled texts; between rounds the toxic texts' windows are judged anew."""
     rng = np.random.default_rng(seed)
     net = fresh_net(rng)
     text, begin, size = window_starts(read.firsts)
     label = y[text].astype(np.float32)
+    known = own_rows(read)
+    net["word"][~known] = 0
     toxic, clean = np.flatnonzero(label > 0), np.flatnonzero(label == 0)
     chosen = rng.permutation(clean)[: len(toxic)]
     first = {k: np.zeros_like(v) for k, v in net.items()}
@@ -251,9 +262,11 @@ def fit_network(read: Words, y: np.ndarray, seed: int = 0, rounds: tuple[int, ..
             order = np.concatenate([rng.permutation(used) for _ in range(1 + LEAST_WINDOWS // len(used))])
             rate = RATE * (1 - passes / sum(rounds))
             passes += 1
-            for lo in range(0, len(order), BATCH):
-                rows = order[lo : lo + BATCH]
+            batch = int(np.clip(len(used) // 16, LEAST_BATCH, BATCH))  # few windows need more steps
+            for lo in range(0, len(order), batch):
+                rows = order[lo : lo + batch]
                 _, g = gradients(net, read, begin[rows], size[rows], label[rows], weight[rows], rng)
+                g["word"][~known] = 0
                 step += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 scale = rate * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
