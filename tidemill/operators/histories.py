@@ -46,6 +46,7 @@ def stability(df: DataFrame, run: str, epoch: str, loss: str, coverage: str, epo
         F.min("_x").alias("best"),
     )
     gain = (F.col("first") - F.col("best")) / F.greatest(F.abs("first"), F.lit(1e-12))
+    # The reason codes.
     reason = (
         F.when(F.col("n") < epochs, "minimum_epochs_not_reached")
         .when(~F.col("finite"), "non_finite_validation_metric")

@@ -149,6 +149,7 @@ def parse_payloads(rows: DataFrame, column: str) -> DataFrame:
       WHEN form IN ('steps', 'older') THEN transform({_items('_list')}, (x, i) -> {_step()}) WHEN form = 'text' THEN {lines} ELSE {empty} END"""
     layered = "form IN ('v4', 'v3', 'layers')"
     gaps = f"CASE WHEN {layered} AND size(steps) > 1 THEN filter(transform(sequence(1, size(steps) - 1), k -> CASE WHEN steps[k - 1].step IS NOT NULL AND NOT coalesce(steps[k].step = steps[k - 1].step + 1, false) THEN concat('layer ', steps[k].position, ': gap') END), r -> r IS NOT NULL) ELSE CAST(array() AS ARRAY<STRING>) END"
+    # The names of faults of a whole payload.
     outer = [
         ("payload_is_null", f"{column_name(column)} IS NULL"), ("invalid_json", "form = 'text'"), ("payload_is_not_object", f"form = 'other' AND _v IS NOT NULL AND NOT {_is('_v', 'OBJECT')}"), ("missing_remaining_steps", f"form = 'other' AND {_is('_v', 'OBJECT')}"),
         ("remaining_layers_is_not_list", f"{layered} AND NOT {_is('_list', 'ARRAY')}"), ("remaining_steps_is_not_list", f"form IN ('steps', 'older') AND NOT {_is('_list', 'ARRAY')}"), ("older_form", "form = 'older'"),

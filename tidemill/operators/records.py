@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.files import discard, kept
 from .fixpoint import clean_edges, condensed, dense_index, distances_to_sinks, sinks, strong_components
 
+# The roles.
 BACKBONE, CROSS, CONTEXT, EXCLUDED = "backbone", "context_cross_layer", "context", "excluded"
 
 
