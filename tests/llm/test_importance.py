@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,13 @@ def got(df):
 def test_whole_table_against_joined_runs(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     benchmark = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    assert got(catalog.op12_crc_ring(spark, sf)) == expected(docs, benchmark)
+    found = got(catalog.op12_crc_ring(spark, sf))
+    assert found == expected(docs, benchmark)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    cur = con.execute(catalog.oracle_sql()["op12_crc_ring"])
+    assert [c[0] for c in cur.description] == ["doc_id", "n_features", "weight", "score", "rank"] and sorted(cur.fetchall(), key=str) == found
 
 
 def test_ring_over_blocks_of_any_size(monkeypatch):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from zlib import crc32
 
 import numpy as np
@@ -148,9 +148,27 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, n: int
     placed = written(placed.drop("row"), "importance-order")
     dropped(spark, scored)
     part = F.shiftright("place", 33)
-    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    starts = [(p, sum(m for q, m in sizes.items() if q < p)) for p in sizes]
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts = [(p, upto - n) for (p, n), upto in zip(sizes, accumulate(n for _, n in sizes), strict=True)]
     ahead = F.broadcast(spark.createDataFrame(starts, "part long, ahead long"))  # a row for each shuffle partition
     place = F.col("ahead") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     rank = F.when(~F.col("short") & (place <= drawn), place)
     return placed.withColumn("part", part).join(ahead, "part").select("doc_id", "n_features", "weight", "score", rank.alias("rank"))
+
+
+#: The checksums are folded byte by byte, each run from the state of the one that is a word shorter.
+ORACLE = r"""WITH tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  texts AS (SELECT true AS raw, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT false, -row_number() OVER (), item_id, text FROM benchmark),
+  lists AS (SELECT raw, r, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+  places AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists), runs AS (SELECT r, ws[i] AS c, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS a FROM places),
+  vocab AS (SELECT c, list_transform(range(0, strlen(c)), lambda k: CAST('0x' || substr(hex(encode(c)), 2 * k + 1, 2) AS BIGINT)) AS bytes FROM (SELECT DISTINCT c FROM runs)),
+  one AS (SELECT c, bytes, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s FROM vocab, tab),
+  two AS (SELECT p.b, p.c, list_reduce(list_prepend(x.s, list_prepend(32::BIGINT, y.bytes)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s FROM (SELECT DISTINCT b, c FROM runs WHERE b IS NOT NULL) p JOIN one x ON x.c = p.b JOIN one y ON y.c = p.c, tab),
+  three AS (SELECT p.a, p.b, p.c, list_reduce(list_prepend(x.s, list_prepend(32::BIGINT, y.bytes)), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])) AS s FROM (SELECT DISTINCT a, b, c FROM runs WHERE a IS NOT NULL) p JOIN two x ON x.b = p.a AND x.c = p.b JOIN one y ON y.c = p.c, tab),
+  features AS (SELECT r, xor(s, 4294967295) % 10000 AS bucket FROM runs JOIN one USING (c) UNION ALL SELECT r, xor(s, 4294967295) % 10000 FROM runs JOIN two USING (b, c) UNION ALL SELECT r, xor(s, 4294967295) % 10000 FROM runs JOIN three USING (a, b, c)),
+  sums AS (SELECT bucket, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM features GROUP BY bucket), totals AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM sums),
+  gains AS (SELECT bucket, CAST(floor(1000 * ln((sums.t + 1) * (totals.s + 10000) / ((sums.s + 1) * (totals.t + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+  weights AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM features JOIN gains USING (bucket) WHERE r > 0 GROUP BY r),
+  scored AS (SELECT doc_id, len(ws) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM lists LEFT JOIN weights USING (r) WHERE raw),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER (PARTITION BY words >= 20) AS able FROM scored)
+  SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= able * 5 // 100 THEN place END AS rank FROM placed"""
