@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from tidemill.llm import catalog, conversations
@@ -120,6 +121,9 @@ def test_whole_table_against_all_edits(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     found = got(catalog.op13_dial_repair(spark, SF))
     assert set(found) == {r[0] for r in rows}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    assert {r[0]: r[1:] for r in con.execute(catalog.oracle_sql()["op13_dial_repair"]).fetchall()} == found
     by = {}
     for r in rows:
         by.setdefault(r[0], []).append(r)

@@ -105,4 +105,4 @@ def queries() -> dict[str, Builder]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op8_suffix_automata": substring_dedup.ORACLE, "op10_host_rules": host_rules.ORACLE, "op12_crc_ring": importance.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op8_suffix_automata": substring_dedup.ORACLE, "op10_host_rules": host_rules.ORACLE, "op12_crc_ring": importance.ORACLE, "op13_dial_repair": conversations.ORACLE}

@@ -445,3 +445,26 @@ def repair_report(rows: DataFrame) -> DataFrame:
     for table in made.tables:
         dropped(rows.sparkSession, table)
     return out
+
+
+#: All edits of a row at a time, of which the best per state goes on; checksums folded byte by byte.
+ORACLE = r"""WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+  kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(name) + 1), lambda k: CAST(ascii(substr(name, k, 1)) AS BIGINT))), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) % 20 AS kind FROM named, tab),
+  hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds, range(0, 2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+  numbered AS (SELECT *, row_number() OVER w AS i FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+  seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM numbered),
+  turns AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ahead, count(*) OVER (PARTITION BY conv_id) AS n FROM seen),
+  stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND ahead || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+  -- the edits of a row: what it may turn the state into, with at most one insertion before it
+  moves(state, letters, role, next_) AS (VALUES ('-', 'D', '', '-'), ('s', 'D', '', 's'), ('u', 'D', '', 'u'), ('a', 'D', '', 'a'), ('-', 'K', 's', 's'), ('-', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'), ('a', 'K', 'u', 'u'), ('-', 'R', 'u', 'u'), ('s', 'R', 'u', 'u'), ('u', 'R', 'a', 'a'), ('a', 'R', 'u', 'u')),
+  inserts(state, letters, line, next_) AS (VALUES ('-', '', '', '-'), ('s', '', '', 's'), ('u', '', '', 'u'), ('a', '', '', 'a'), ('-', 'I', 'user:', 'u'), ('s', 'I', 'user:', 'u'), ('u', 'I', 'assistant:', 'a'), ('a', 'I', 'user:', 'u')),
+  edits AS (SELECT i.state, i.letters || m.letters AS letters, m.letters AS edit, i.line, m.role, m.next_, CASE WHEN i.letters = 'I' THEN 3 ELSE 0 END + CASE m.letters WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END AS cost FROM inserts i JOIN moves m ON m.state = i.next_),
+  paths(conv_id, i, state, cost, audit, body) AS (SELECT conv_id, 0, '-', 0, '', CAST([] AS VARCHAR[]) FROM stats
+    UNION ALL SELECT conv_id, i, state, best.cost, best.audit, best.body FROM (SELECT p.conv_id, t.i, e.next_ AS state, min(struct_pack(cost := p.cost + e.cost + CASE WHEN e.edit <> 'D' AND t.fault = 'truncated' THEN 3 ELSE 0 END, audit := p.audit || e.letters,
+        body := list_concat(p.body, list_concat(CASE WHEN e.line = '' THEN CAST([] AS VARCHAR[]) ELSE [e.line] END, CASE e.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE e.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text] END)))) AS best
+      FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1 JOIN edits e ON e.state = p.state WHERE e.edit = 'D' OR (t.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.role = t.initial)) GROUP BY p.conv_id, t.i, e.next_)),
+  ends(state, letters, cost, body) AS (VALUES ('-', '', 0, CAST([] AS VARCHAR[])), ('a', '', 0, CAST([] AS VARCHAR[])), ('u', 'I', 3, ['assistant:']), ('s', 'II', 6, ['user:', 'assistant:']), ('-', 'II', 6, ['user:', 'assistant:'])),
+  best AS (SELECT p.conv_id, min(struct_pack(cost := p.cost + e.cost, audit := audit || letters, body := list_concat(p.body, e.body))) AS b FROM paths p JOIN ends e USING (state) JOIN (SELECT conv_id, max(n) AS n FROM turns GROUP BY conv_id) s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = s.n GROUP BY p.conv_id)
+  SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.body, chr(10)), '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id"""
