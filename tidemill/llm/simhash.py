@@ -29,6 +29,8 @@ SHINGLE_WORDS = 3
 LARGE_KEY = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: The bits of each byte as eight bytes.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
@@ -46,27 +48,17 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(counts)
     if not len(some):
         return out
-    ends = np.cumsum(counts)
-    begin, got, weights = 0, [], np.uint64(1) << np.arange(64, dtype=np.uint64)
-    while begin < len(some):  # bounded pieces, as the bits take 64 bytes a hash
-        end = max(begin + 1, int(np.searchsorted(ends[some], ends[some[begin]] - counts[some[begin]] + 131072)))
-        own = some[begin:end]
-        lo = ends[own[0]] - counts[own[0]]
-        part = hashes[lo : ends[own[-1]]]
-        if end - begin == 1:
-            ones = sum(_bits(part[i : i + 131072]).sum(axis=0, dtype=np.int64) for i in range(0, len(part), 131072))[None]
-        else:
-            ones = np.add.reduceat(_bits(part), ends[own] - counts[own] - lo, axis=0, dtype=np.int64)
-        got.append(((2 * ones > counts[own][:, None]) * weights).sum(axis=1, dtype=np.uint64))
-        begin = end
-    out[some] = np.concatenate(got)
+    sizes = counts[some]
+    runs = -(-sizes // 255)  # eight counters of a byte each are added at once, so 255 hashes at a time
+    first = np.cumsum(runs) - runs
+    begins = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.stack([np.add.reduceat(_COUNTERS[octets[:, i]], begins) for i in range(8)], axis=1)
+    ones = np.add.reduceat(ones.view(np.uint8), first, axis=0, dtype=np.int64)
+    out[some] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = []
