@@ -50,22 +50,23 @@ def _small_star(edges: DataFrame, count: int) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """Rows (node, component) for every node of the edges (a, b), component the smallest node that links reach.
 
     Each round rewrites every edge towards the smallest neighbour it can see, which leaves
     stars after a number of rounds that grows with the logarithm of the longest path. The hub
     of a star is no hot key, see with_minimum. A round
-    is written to the shared folder, so no plan grows and a lost executor costs one round.
+    is written to the shared folder, so no plan grows and a lost executor costs one round;
+    files is the number of files of a round at most (as many as there are partitions if None).
     Loops and repeated edges are allowed; an empty edge table gives an empty result.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", files)
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = print_of(now)
     for _ in range(rounds):
         if not seen[0]:
             break
-        after = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
+        after = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges", files)
         dropped(edges.sparkSession, now)
         now, before, seen = after, seen, print_of(after)
         if seen == before:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code works on at a time; a longer text is one piece.
 CHUNK_BYTES = 2 << 20
+#: Rows of ids and fingerprints in a file, where there are more files than two a core.
+FILE_ROWS = 1_000_000
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,9 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for a table of so many rows of ids: two a core, and more where they would have over FILE_ROWS rows."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    files: so many at most. Each task that writes starts three processes (chmod) where Hadoop
+    has no native library, and each shows all the executor's memory until it runs.
+    """
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ copies costs one row in the index however large it is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, with_minimum
-from .shared import keep_first_of_groups, let_workers_import, text_chunks, written
+from .shared import files_for, keep_first_of_groups, let_workers_import, text_chunks, written
 
 MAX_BITS = 3
 SEED = 42
 SHINGLE_WORDS = 3
 #: A key with more fingerprints than this is cut further by the bytes of its other half.
 LARGE_KEY = 4096
+#: A longer text is hashed in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The bits of each byte as eight bytes.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -42,27 +46,64 @@ def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) ->
     return [digest(b" ".join(run), seed) for run in zip(*(found[i:] for i in range(words)), strict=False)]
 
 
-def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Majority bits of each run of counts[i] hashes; an empty run gives 0."""
-    out = np.zeros(len(counts), np.uint64)
-    some = np.flatnonzero(counts)
-    if not len(some):
-        return out
-    sizes = counts[some]
+def bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each run of sizes[i] > 0 hashes, how many have each of the 64 bits."""
     runs = -(-sizes // 255)  # eight counters of a byte each are added at once, so 255 hashes at a time
     first = np.cumsum(runs) - runs
     begins = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.stack([np.add.reduceat(_COUNTERS[octets[:, i]], begins) for i in range(8)], axis=1)
-    ones = np.add.reduceat(ones.view(np.uint8), first, axis=0, dtype=np.int64)
-    out[some] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return np.add.reduceat(ones.view(np.uint8), first, axis=0, dtype=np.int64)
+
+
+def _majorities(ones: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Majority bits of each run of counts[i] hashes; an empty run gives 0."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = _majorities(bit_counts(hashes, counts[some]), counts[some])
     return out
 
 
+def _pieces(text: memoryview) -> Iterator[bytes]:
+    """The text in pieces of about PIECE_BYTES that end before white space; every run of SHINGLE_WORDS words stands in just one.
+
+    A piece begins with the last words of the one before. Only a text of fewer words is one shorter piece."""
+    at, held, any_ = 0, b"", False
+    while at < len(text):
+        cut = _SPACE.search(text, min(at + PIECE_BYTES, len(text)))
+        end = cut.start() if cut else len(text)
+        piece = held + b" " + bytes(text[at:end])
+        words = piece.rsplit(maxsplit=SHINGLE_WORDS)[-SHINGLE_WORDS:]
+        whole = len(words) == SHINGLE_WORDS
+        if whole or end == len(text) and not any_:
+            any_ = True
+            yield piece
+        held, at = b" ".join(words[whole:]), end
+
+
+def long_fingerprint(text: memoryview) -> np.ndarray:
+    """fingerprints_of the shingles of one text, in memory of a few pieces."""
+    ones, size = np.zeros((1, 64), np.int64), 0
+    for piece in _pieces(text):
+        found = np.array(shingle_hashes(piece), np.uint64)
+        if len(found):
+            ones += bit_counts(found, np.array([len(found)]))
+            size += len(found)
+    return _majorities(ones, np.array([size]))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = []
         for lo, hi, raw, offsets in text_chunks(batch.column(1)):
+            if hi - lo == 1 and len(raw) > PIECE_BYTES:
+                got.append(long_fingerprint(memoryview(raw)))
+                continue
             lists = [shingle_hashes(raw[offsets[i] : offsets[i + 1]].tobytes()) for i in range(hi - lo)]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             hashes = np.fromiter((h for own in lists for h in own), np.uint64, int(counts.sum()))
@@ -165,10 +206,10 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return index.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
-def _rooted(prints: DataFrame) -> DataFrame:
+def _rooted(prints: DataFrame, files: int | None = None) -> DataFrame:
     """(fp, rep, root): each distinct fingerprint with its smallest doc_id and the fingerprint that names its group."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(fingerprint_links(classes.select("fp")))
+    parts = connected_components(fingerprint_links(classes.select("fp")), files=files)
     return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
 
 
@@ -180,10 +221,12 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
     component_id. Repeated rows and repeated doc_ids keep one result row each. Further
     columns of docs are ignored; an empty table gives an empty result.
     """
-    prints = written(fingerprints(docs), "simhash")
-    rooted = written(_rooted(prints), "simhash-groups")
+    spark = docs.sparkSession
+    prints = written(fingerprints(docs).repartition(files_for(spark, 0)), "simhash")  # as many tasks as docs has partitions
+    files = files_for(spark, prints.count())
+    rooted = written(_rooted(prints, files), "simhash-groups", files)
     named = with_minimum(rooted, "root", "rep", "component_id", rooted.count()).select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").coalesce(files)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
