@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import payloads
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: Lines of an order in a fixed order, from 0, with what the answer says of each.
 _LINES = """SELECT *, concat('sup:', CAST(l_suppkey AS {string})) AS sid, concat('part:', CAST(l_partkey AS {string})) AS pid, concat('S', CAST(l_suppkey AS {string}), ' sends P', CAST(l_partkey AS {string})) AS said,
@@ -44,7 +44,7 @@ _TREE = r"""concat('{ "z" : {"name":"', p_name, '", "list": [ "', p_brand, '", "
 
 
 def _rewritten(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", _TREE)
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")).selectExpr("p_partkey", "p_brand", _TREE)
     named = F.create_map(F.col("p_brand"), F.concat(F.lit('ent:"'), F.substring(F.sha2("p_brand", 256), 1, 8), F.lit('"')))
     return rows.select("p_partkey", payloads.canonical_json(F.col("body")).alias("canonical"), payloads.rewrite_leaves(F.col("body"), named).alias("everywhere"), payloads.rewrite_leaves(F.col("body"), named, ("brand",)).alias("under_brand"))
 
