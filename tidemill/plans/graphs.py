@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dialect import relational
+from ..functions.dialect import ORACLE, on_oracle, on_spark, relational
 from ..operators import assignment, graph
 from ..sources.tables import table
 
@@ -32,6 +32,24 @@ def reverse_reachability(d):
       SELECT sink, count(DISTINCT node) AS ancestors FROM up GROUP BY sink"""
 
 
+def _dag(spark, sf_dir):
+    return on_spark(spark, sf_dir, f"WITH {_DAG} SELECT src, dst FROM dag")
+
+
+def _inner(dag):
+    """The edges that do not end a way: few, whatever the number of leaves."""
+    return dag.join(dag.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def _ancestors(spark, sf_dir):
+    """The closure of the inner edges, and one step from each leaf: a recursive query would list all ways from all leaves."""
+    dag = _dag(spark, sf_dir)
+    leaves = dag.where("substr(dst, 1, 1) IN ('s', 'c')").select(F.col("dst").alias("sink"), F.col("src").alias("node")).distinct()
+    above = graph.transitive_closure(_inner(dag), "src", "dst").select(F.col("dst").alias("node"), F.col("src").alias("up"))
+    ways = leaves.unionByName(leaves.join(above, "node").select("sink", F.col("up").alias("node")))
+    return ways.groupBy("sink").agg(F.count_distinct("node").alias("ancestors"))
+
+
 def longest_layers(d):
     """Longest distance to a sink and the layer from the top."""
     return f"""WITH RECURSIVE {_DAG}, walk(node, depth) AS (SELECT DISTINCT dst, 0 FROM dag WHERE dst NOT IN (SELECT src FROM dag) UNION ALL SELECT dag.src, walk.depth + 1 FROM walk JOIN dag ON dag.dst = walk.node),
@@ -109,5 +127,5 @@ def _indivisible(spark, sf_dir):
 
 
 QUERIES = relational(
-    edges_adjacency, condense_sinks, reverse_reachability, longest_layers, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
-) | {"scc_pairs": (_scc_pairs, _SCC_PAIRS_ORACLE), "structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}
+    edges_adjacency, condense_sinks, longest_layers, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
+) | {"reverse_reachability": (_ancestors, on_oracle(reverse_reachability(ORACLE))), "scc_pairs": (_scc_pairs, _SCC_PAIRS_ORACLE), "structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}
