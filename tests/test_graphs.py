@@ -15,7 +15,7 @@ CASES = {"plain": (NATIONS.replace("(3, NULL), ", ""), SUPPLIERS, CUSTOMERS), "n
 
 
 @pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("name", ["reverse_reachability"])
+@pytest.mark.parametrize("name", ["reverse_reachability", "longest_layers"])
 def test_key_graph_beyond_the_row_limit_of_recursion(spark, tmp_path, name, case):
     con = duckdb.connect()
     for t, columns, rows in zip(("nation", "supplier", "customer"), (("n_nationkey", "n_regionkey"), ("s_suppkey", "s_nationkey"), ("c_custkey", "c_nationkey")), CASES[case], strict=True):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE, on_oracle, on_spark, relational
-from ..operators import assignment, graph
+from ..operators import assignment, fixpoint, graph
+from ..sources.files import discard, kept
 from ..sources.tables import table
 
 #: Transitions of event types in the order of a user's events: a small graph with cycles.
@@ -56,6 +59,22 @@ def longest_layers(d):
       far AS (SELECT node, max(depth) AS distance FROM walk GROUP BY node) SELECT node, CAST(distance AS BIGINT) AS distance, CAST((SELECT max(distance) FROM far) - distance AS BIGINT) AS layer FROM far"""
 
 
+def _layers(spark, sf_dir):
+    """Longest ways by rounds over the inner edges, from the nodes above the sinks; the sinks themselves are at 0."""
+    dag = _dag(spark, sf_dir)
+    dag.createOrReplaceTempView(view := f"dag_{uuid.uuid4().hex}")
+    # as the oracle's NOT IN: a null source leaves no sinks
+    sinks = spark.sql(f"SELECT DISTINCT dst AS node FROM {view} WHERE dst NOT IN (SELECT DISTINCT src FROM {view})")
+    spark.catalog.dropTempView(view)
+    first = dag.join(sinks.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.lit(0).alias("g"), F.col("src").alias("n")).distinct()
+    up = kept(_inner(dag).select(F.lit(0).alias("g"), F.col("dst").alias("a"), F.col("src").alias("b")).distinct(), "inner")
+    higher = fixpoint.relax(first.withColumn("v", F.lit(1)), up, ["g"], "max", 1)
+    discard(up)
+    far = sinks.select("node", F.lit(0).alias("distance")).unionByName(higher.select(F.col("n").alias("node"), F.col("v").alias("distance")))
+    top = far.agg(F.max("distance").alias("top"))
+    return far.crossJoin(F.broadcast(top)).select("node", F.col("distance").cast("bigint").alias("distance"), (F.col("top") - F.col("distance")).cast("bigint").alias("layer"))
+
+
 def _scc_pairs(spark, sf_dir):
     """Mutually reachable event types, by the closure of all transitions."""
     from pyspark.sql import Window
@@ -127,5 +146,5 @@ def _indivisible(spark, sf_dir):
 
 
 QUERIES = relational(
-    edges_adjacency, condense_sinks, longest_layers, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
-) | {"reverse_reachability": (_ancestors, on_oracle(reverse_reachability(ORACLE))), "scc_pairs": (_scc_pairs, _SCC_PAIRS_ORACLE), "structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}
+    edges_adjacency, condense_sinks, context_attachment, semantic_dedup, exact_text_groups, dependency_closure,
+) | {"reverse_reachability": (_ancestors, on_oracle(reverse_reachability(ORACLE))), "longest_layers": (_layers, on_oracle(longest_layers(ORACLE))), "scc_pairs": (_scc_pairs, _SCC_PAIRS_ORACLE), "structured_records": (_records, None), "scc_components": (_scc, _scc_oracle()), "horizon_balance": (_balance, None), "indivisible_split": (_indivisible, None)}
