@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import fixpoint, records
+from tidemill.operators import fixpoint, record_graphs, records
 
 
 def edges_of(spark, rows):
@@ -123,3 +124,43 @@ def test_dense_index(spark):
     df = spark.createDataFrame([("a", 7), ("a", 3), ("a", 7), ("b", 5)], "g string, v int")
     assert {tuple(r) for r in fixpoint.dense_index(df, ["g"], "v", "i").collect()} == {("a", 3, 0), ("a", 7, 1), ("b", 5, 0)}
     assert df.select(F.max("v")).first()[0] == 7
+
+
+def odd_events(seed, kind=int):
+    """Events with null ends, nodes, ids and texts, empty lists, ids that come twice, roles unknown."""
+    rng = random.Random(seed)
+    node = lambda: None if rng.random() < 0.04 else kind(rng.randrange(12))
+    nodes = lambda: None if rng.random() < 0.03 else [node() for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3]))]
+    some = lambda *values: rng.choice(values)
+    rows = []
+    for g in range(40):
+        size = rng.randrange(1, 40)
+        for _ in range(size):
+            e = None if rng.random() < 0.03 else f"e{rng.randrange(size * 2)}" + some("", "é", "\U0001f600", "~")
+            rows.append((None if g == 7 else f"g{g}", e, nodes(), nodes(), some("backbone", "backbone", "context", "excluded", "other", None), some("m1", "m2", "m3", "é", None), some("c1", "c2", None), some("t1", "t2", None)))
+        rows += rng.sample(rows[-size:], min(2, size))
+    return rows
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_whole_graphs_give_what_joins_give(spark, monkeypatch, kind):
+    events = spark.createDataFrame(odd_events(5, kind), EVENTS.replace("array<long>", "array<string>") if kind is str else EVENTS)
+    monkeypatch.setattr(record_graphs, "BATCH_ROWS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    look = lambda df: (df.schema.simpleString(), sorted(map(repr, df.collect())))
+    try:
+        made, layered = look(records.structured_records(events)), look(records.layered_events(events))
+        by_joins = records._joined_layers(events)
+        assert layered == look(by_joins) and len(layered[1]) > 200
+        assert made == look(records._joined_records(events, by_joins)) and len(made[1]) > 60
+        if kind is int:
+            monkeypatch.setattr(records, "WHOLE_GRAPH", 20)  # some graphs by joins
+            assert made == look(records.structured_records(events))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_records_are_dealt_out_once(spark):
+    rows = [event(f"e{i}", [i], [i + 1], graph=f"g{i % 3}") for i in range(9)]
+    plan = records.prefix_rows(records.structured_records(spark.createDataFrame(rows, EVENTS)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -4,7 +4,8 @@ Events are rows (graph, event, sources, targets, role, semantic, content, text):
 targets are arrays of nodes; role is backbone, context or excluded; semantic names what an event
 means, content what a reader sees of it; text may be null. Backbone events define the order:
 strong components of their arcs, the sinks among these, and for each sink the components that
-lead to it, layered by the longest way. Every step is a join or an aggregate over all graphs.
+lead to it, layered by the longest way. Graphs of up to WHOLE_GRAPH events are dealt out once and
+go whole to a task (record_graphs.py); of larger ones every step is a join or an aggregate.
 """
 
 from __future__ import annotations
@@ -13,10 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import discard, kept
+from . import record_graphs
 from .fixpoint import clean_edges, condensed, dense_index, distances_to_sinks, sinks, strong_components
 
 # The roles.
 BACKBONE, CROSS, CONTEXT, EXCLUDED = "backbone", "context_cross_layer", "context", "excluded"
+COLUMNS = ("graph", "event", "sources", "targets", "role", "semantic", "content", "text")
+
+#: Events of a graph up to which it goes whole to a task.
+WHOLE_GRAPH = 5_000
+#: Events that a task of whole graphs has.
+TASK_EVENTS = 250_000
+#: Types of graphs, events and nodes that are ordered and written in Python as in Spark.
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "string")
 
 
 def stable_id(kind: str, *parts: Column) -> Column:
@@ -83,12 +93,42 @@ def merged_events(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _divided(events: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The records of graphs of up to WHOLE_GRAPH events, and the events of the larger ones; none where there are none."""
+    kinds = dict(events.dtypes)
+    node = kinds["sources"].removeprefix("array<").removesuffix(">")
+    plain = {kinds["graph"], kinds["event"], node} <= set(_PLAIN) and kinds["sources"] == kinds["targets"] and {kinds[c] for c in COLUMNS[4:]} == {"string"}
+    events = kept(events.select(*COLUMNS).where("graph IS NOT NULL"), "events")  # read twice at least
+    if not plain:
+        return None, events
+    large = kept(events.groupBy("graph").count().where(F.col("count") > WHOLE_GRAPH).select("graph"), "large")
+    rest = None if large.isEmpty() else events.join(large, "graph", "left_semi").select(*COLUMNS)
+    small = events if rest is None else events.join(large, "graph", "left_anti").select(*COLUMNS)
+    if rest is None:
+        discard(large)
+    tasks = max(2 * events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // TASK_EVENTS))
+    dealt = small.repartition(tasks, "graph").sortWithinPartitions("graph")
+    return dealt.mapInArrow(record_graphs.made_records, record_graphs.result_schema(kinds["graph"], kinds["event"], node)), rest
+
+
 def layered_events(events: DataFrame) -> DataFrame:
     """(graph, view_id, record_id, sink_nodes, layer_index, distance_to_sink, and the columns of merged_events) of every view.
 
     Events with null ends or of unknown roles take no part; nodes of one graph only meet in it; an
     empty table gives an empty result. Layers are numbered densely from the top.
     """
+    whole, rest = _divided(events)
+    if whole is None:
+        return _joined_layers(rest)
+    head = ("graph", "view_id", "record_id", "sink_nodes")
+    layer = whole.select(*head, F.explode("layers").alias("x")).select(*head, "x.layer_index", "x.distance_to_sink", F.explode("x.events").alias("e"))
+    own = ("semantic", "event_id", "producers", "sources", "targets", "role", "arcs", "content", "text", "conflicts", "order", "n_context")
+    out = layer.select(*head, "layer_index", "distance_to_sink", *(f"e.{c}" for c in own))
+    return out if rest is None else out.unionByName(_joined_layers(rest))
+
+
+def _joined_layers(events: DataFrame) -> DataFrame:
+    """layered_events by joins over all graphs."""
     view = views(events)
     known = events.select(F.col("graph").alias("g"), "event", "sources", "targets", "semantic", "content", "text")
     placed = placements(events, view)
@@ -111,7 +151,18 @@ def structured_records(events: DataFrame, layered: DataFrame | None = None) -> D
     least source, event). n_graph_events counts the graph's events, n_excluded those excluded as
     such, n_unattached context events that do not fit the view, n_beyond backbone events of other views.
     """
-    layered = layered_events(events) if layered is None else layered
+    if layered is not None:
+        return _joined_records(events, layered)
+    whole, rest = _divided(events)
+    if whole is None:
+        return _joined_records(rest, _joined_layers(rest))
+    sized = whole.withColumn("n_layers", F.size("layers").cast("bigint")).withColumn("n_events", F.aggregate("layers", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["events"])))
+    out = sized.select("graph", "view_id", "record_id", "sink_nodes", "layers", "n_producers", "n_conflicts", "n_graph_events", "n_excluded", "n_layers", "n_events", "n_unattached", "n_beyond")
+    return out if rest is None else out.unionByName(_joined_records(rest, _joined_layers(rest)))
+
+
+def _joined_records(events: DataFrame, layered: DataFrame) -> DataFrame:
+    """structured_records by joins and aggregates over all graphs."""
     own = F.struct("order", "event_id", "producers", "semantic", "sources", "targets", "role", "arcs", "content", "text", "conflicts", "n_context")
     by = ["graph", "view_id", "record_id", "sink_nodes"]
     layer = layered.groupBy(*by, "layer_index", "distance_to_sink").agg(F.array_sort(F.collect_list(own)).alias("events"), F.sum(F.size("producers")).alias("_p"), F.sum("n_context").alias("_c"), F.sum(F.size("conflicts")).alias("_x"))

@@ -46,10 +46,18 @@ def write_release(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the scratch folder: computed once, its plan ends there, it outlives lost executors."""
-    where = scratch(df.sparkSession, name)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    """df as a table in the scratch folder: computed once, its plan ends there, it outlives lost executors.
+
+    What was shuffled for it is deleted once it is written, not when the driver next collects its garbage.
+    """
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    where, before = scratch(spark, name), spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def discard(df: DataFrame) -> None:
