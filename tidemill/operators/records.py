@@ -177,12 +177,15 @@ def _joined_records(events: DataFrame, layered: DataFrame) -> DataFrame:
 def prefix_rows(records: DataFrame) -> DataFrame:
     """A row for each record and each number of observed layers that leaves at least one: ids, both sides as JSON, their counts and digests."""
     size = F.size("layers")
-    rows = records.where(size > 1).select("*", F.explode(F.sequence(F.lit(1), size - 1)).alias("prefix_length"))
-    seen = F.slice("layers", F.lit(1), F.col("prefix_length"))
-    rest = F.slice("layers", F.col("prefix_length") + 1, size)
-    shown = lambda side: F.to_json(F.transform(side, lambda x: F.struct(x["layer_index"].alias("layer_index"), F.transform(x["events"], lambda e: e["content"]).alias("events"))))
-    total = lambda side: F.aggregate(side, F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["events"]))
-    sides = rows.select("*", shown(seen).alias("observed"), shown(rest).alias("remaining"), total(seen).alias("n_observed_events"), total(rest).alias("n_remaining_events"))
+    # each layer is written and counted once, before the rows of a record are made
+    shown = F.transform("layers", lambda x: F.to_json(F.struct(x["layer_index"].alias("layer_index"), F.transform(x["events"], lambda e: e["content"]).alias("events"))))
+    layers = records.where(size > 1).select("record_id", "view_id", "graph", "sink_nodes", "n_layers", shown.alias("shown"), F.transform("layers", lambda x: F.size(x["events"]).cast("bigint")).alias("counts"))
+    rows = layers.select("*", F.explode(F.sequence(F.lit(1), F.size("shown") - 1)).alias("prefix_length"))
+    seen = lambda column: F.slice(column, F.lit(1), F.col("prefix_length"))
+    rest = lambda column: F.slice(column, F.col("prefix_length") + 1, F.size(column))
+    whole = lambda part: F.concat(F.lit("["), F.array_join(part, ","), F.lit("]"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    sides = rows.select("*", whole(seen("shown")).alias("observed"), whole(rest("shown")).alias("remaining"), total(seen("counts")).alias("n_observed_events"), total(rest("counts")).alias("n_remaining_events"))
     return sides.select(
         F.concat("record_id", F.lit(":prefix="), F.col("prefix_length").cast("string")).alias("sample_id"), "record_id", "view_id", "graph", "sink_nodes", F.col("prefix_length").cast("bigint").alias("prefix_length"), "n_layers",
         (F.col("n_layers") - F.col("prefix_length")).alias("n_remaining_layers"), "n_observed_events", "n_remaining_events", "observed", "remaining", F.sha2("observed", 256).alias("observed_sha256"), F.sha2("remaining", 256).alias("answer_sha256"),
