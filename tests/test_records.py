@@ -170,3 +170,9 @@ def test_prefix_rows_write_each_layer_once(spark):
     rows = [event(f"e{i}", [i], [i + 1], content=f"c{i}") for i in range(4)]
     found = records.prefix_rows(records.structured_records(spark.createDataFrame(rows, EVENTS))).select("observed", "answer_sha256")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+
+
+def test_layered_events_are_dealt_out_once(spark):
+    rows = [event(f"e{i}", [i], [i + 1], graph=f"g{i % 3}") for i in range(9)]
+    plan = records.layered_events(spark.createDataFrame(rows, EVENTS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
